@@ -173,8 +173,8 @@ def pack(pieces: DataFrame, store: Store, capacity: int = 1024, task_items: int
     out = finished[0]
     for f in finished[1:]:
         out = out.union(f)
-    numbered = out.select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("members").alias("m"))
-    return numbered.select(*[F.col(f"m.`{c}`") for c in names], "sequence_id", "m.offset")
+    numbered = out.select(F.monotonically_increasing_id().alias("sequence_id"), "members")  # a row is a bin; the tables are written, so numbers hold
+    return numbered.select("sequence_id", F.explode("members").alias("m")).select(*[F.col(f"m.`{c}`") for c in names], "sequence_id", "m.offset")
 
 
 def last_round(k: int, left: int, before: int | None, task_items: int) -> bool:
