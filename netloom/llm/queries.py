@@ -28,6 +28,28 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), Store(spark, "op2"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import without_repeated_strings
+
+    found = without_repeated_strings(spark.read.parquet(f"{sf_dir}/documents.parquet"), Store(spark, "op3"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 of the text that stays (null text: of the empty one)."""
+    from .lines import without_repeated_lines
+
+    found = without_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), Store(spark, "op4"))
+    return found.select("row.doc_id", F.col("lines.total").alias("n_lines"), F.col("lines.removed").alias("n_removed"), F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    records = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), Store(spark, "op5"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embed import near_vectors
 
@@ -40,6 +62,20 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Store(spark, "op7"), width=2, percent=80)
 
 
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, weight of the source, copies: how often the document is read under the corpus' own token budget."""
+    from .mixing import plan
+
+    found = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"), Store(spark, "op8"), target_entropy=0.97)
+    return found.select("row.doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "copies")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), Store(spark, "op9"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_counts
 
@@ -58,9 +94,22 @@ FROM n
 """
 
 
+#: Records in DuckDB SQL; the archive's name and the members' places, which only the files know, are left out.
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+     f AS (SELECT page_id, n, h, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h, n) ELSE page_id END AS first FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op6_embedding_near_dedup, op7_minhash_near_dedup, op10_token_counts)}
+    every = (op1_best_fit_packing, op2_exact_dedup, op3_suffix_array_dedup, op4_line_dedup, op5_warc, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_temperature_mixing, op9_toxicity, op10_token_counts)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_warc": OP5_SQL}

@@ -64,3 +64,8 @@ def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def id_key(column: str = "doc_id"):
     """An id as long; rows without one share the largest, and so come last in any order."""
     return F.coalesce(F.col(column).cast("long"), F.lit(2**63 - 1))
+
+
+def doc_key(column: str = "doc_id", text: str = "text"):
+    """An id as long that tells documents apart; for rows without one, a hash of the text."""
+    return F.coalesce(F.col(column).cast("long"), F.xxhash64(F.col(text).cast("string")))
