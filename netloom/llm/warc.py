@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Store, small
+from .store import Store, delete, small
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_REVISIT = 100
@@ -175,28 +175,32 @@ def _normalise(folder: str, level: int) -> Callable:
     return run
 
 
-def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every record of the normalised archives, found by its offset in the sidecar index."""
-    for batch in batches:
-        for source, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            files, path = fs.FileSystem.from_uri(source) if "://" in source else (fs.LocalFileSystem(), source)
-            with files.open_input_stream(f"{path}.idx") as stream:
-                entries = [json.loads(x) for x in stream.read().splitlines()]
-            if len(entries) != expected:
-                raise ValueError(f"{source} has {len(entries)} records in its index instead of {expected}")
-            with files.open_input_file(path) as archive:
-                for at in range(0, len(entries), 256):
-                    rows = []
-                    for e in entries[at : at + 256]:
-                        raw = zlib.decompress(archive.read_at(e["length"], e["offset"]), 31)
-                        ((head, payload, _),) = Parser().feed(raw)
-                        digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                        n = int(head["WARC-Payload-Length"])
-                        if head["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != n):
-                            raise ValueError(f"{source} at {e['offset']}: the payload is not the one that was written")
-                        page, refers = head["WARC-Page-ID"], head.get("WARC-Refers-To-Page-ID")
-                        rows.append((int(page) if page else None, n, digest, head["WARC-Type"], int(refers) if refers else None, source, e["offset"], e["length"]))
-                    yield pa.RecordBatch.from_pylist([dict(zip(RECORDS.names, r, strict=True)) for r in rows], schema=RECORDS)
+def _read_back(folder: str) -> Callable:
+    """Every record of the normalised archives in folder, found by its offset in the sidecar index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = _opened(folder)
+        for batch in batches:
+            for source, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with files.open_input_stream(f"{source}.idx") as stream:
+                    entries = [json.loads(x) for x in stream.read().splitlines()]
+                if len(entries) != expected:
+                    raise ValueError(f"{source} has {len(entries)} records in its index instead of {expected}")
+                with files.open_input_file(source) as archive:
+                    for at in range(0, len(entries), 256):
+                        rows = []
+                        for e in entries[at : at + 256]:
+                            raw = zlib.decompress(archive.read_at(e["length"], e["offset"]), 31)
+                            ((head, payload, _),) = Parser().feed(raw)
+                            digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
+                            n = int(head["WARC-Payload-Length"])
+                            if head["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != n):
+                                raise ValueError(f"{source} at {e['offset']}: the payload is not the one that was written")
+                            page, refers = head["WARC-Page-ID"], head.get("WARC-Refers-To-Page-ID")
+                            rows.append((int(page) if page else None, n, digest, head["WARC-Type"], int(refers) if refers else None, source, e["offset"], e["length"]))
+                        yield pa.RecordBatch.from_pylist([dict(zip(RECORDS.names, r, strict=True)) for r in rows], schema=RECORDS)
+
+    return run
 
 
 RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("member_offset", pa.int64()), ("member_length", pa.int64())])
@@ -222,8 +226,7 @@ def archive_pages(pages: DataFrame, store: Store, level: int = 6, file_bytes: in
     first = large.groupBy("digest").agg(F.min("id").alias("target"), F.count("*").alias("n")).where("n > 1").select("digest", "target")
     revisits = store.cut(large.join(first, "digest").where("id <> target").select("id", "digest", "target").distinct(), "revisits")
     decided = rows.join(small(revisits, 100_000), ["id", "digest"], "left").select("id", "url", "payload", "digest", "target")
-    written = store.cut(decided.mapInArrow(_write_monolithic(f"{store.root}/monolithic", 1, file_bytes), "path string, records long"), "written")
-    normal = store.cut(normalise(written, f"{store.root}/normal", level), "normal")
-    store.paths["monolithic"] = f"{store.root}/monolithic"
-    store.free("monolithic")
-    return normal.repartition(max(1, normal.count()), "path").mapInArrow(_read_back, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, member_offset long, member_length long")
+    written = store.cut(decided.mapInArrow(_write_monolithic(f"{store.root}/streams", 1, file_bytes), "path string, records long"), "written")
+    normal = store.cut(normalise(written, f"{store.root}/archives", level), "normal")
+    delete(pages.sparkSession, f"{store.root}/streams")
+    return normal.repartition(max(1, normal.count()), "path").mapInArrow(_read_back(f"{store.root}/archives"), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, member_offset long, member_length long")
