@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .store import Store, id_key, small
 from .textbytes import BASE, LOWER, mix, prefix_sums, slabs, span_hash, word_spans
 
@@ -24,6 +24,8 @@ BANDS, ROWS = 48, 6
 SKETCH_WORDS = 32
 #: Candidates whose estimate is lower by this are not compared in full: over five standard deviations of the estimate at 0.8.
 SLACK = 0.16
+#: Comparisons left in a bucket beyond which they are made by blocks, and documents of a block.
+CROWD, BLOCK = 256, 512
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -110,7 +112,7 @@ def _sets(width: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, store: Store, width: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS, words: int = SKETCH_WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, store: Store, width: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS, words: int = SKETCH_WORDS, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text, ...) to (doc_id, n_shingles, component_id, kept), a row per input row.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their shingle sets; component_id is the smallest doc_id reachable.
@@ -140,16 +142,22 @@ def near_duplicates(docs: DataFrame, store: Store, width: int = 2, percent: int
     wanted = store.cut(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted-0")
     sets = store.cut(texts.join(small(wanted), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, s array<long>"), "sets-0")
     for k in range(3):
+        crowds = None
         if k == 0:
             pairs = best
         elif k == 1:
             pairs = _apart(stars.select("a", "b"), labels)
         else:
-            pairs = store.cut(_sift(_across(members.select("key", "id"), labels), reps, percent, bands * rows, words), "across").select("a", "b")
-            more = store.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti"), "wanted-2")
+            few, crowds = _open_buckets(members.select("key", "id"), labels, store, crowd)
+            pairs = store.cut(_sift(few, reps, percent, bands * rows, words), "across").select("a", "b")
+            needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowds.select("id")).distinct()
+            more = store.cut(needed.join(sets.select("id"), "id", "left_anti"), "wanted-2")
             if more.limit(1).count():
                 sets = sets.unionByName(store.cut(texts.join(small(more), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, s array<long>"), "sets-2"))
-        found = store.cut(_confirm(pairs, sets, percent), f"links-{k}")
+        found = _confirm(pairs, sets, percent)
+        if crowds is not None and crowds.limit(1).count():
+            found = found.unionByName(_by_blocks(crowds, sets, percent, block))
+        found = store.cut(found, f"links-{k}")
         if k and not found.limit(1).count():
             continue
         edges = edges.unionByName(found)
@@ -185,15 +193,60 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where("ca <> cb").select("a", "b")
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within a bucket whose components differ. The largest component of a bucket is not paired with itself, nor are others with theirs."""
+def _open_buckets(members: DataFrame, labels: DataFrame, store: Store, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """What is still to be compared in buckets of more than one component: pairs (a, b), and crowds (major, id, minor).
+
+    The largest component of a bucket, its major one, needs no comparison within; each member of another one, a minor member, is to be compared with
+    all of the bucket. Buckets with at most `crowd` such comparisons become pairs. In larger ones the minor members join a crowd around the
+    major component, which is compared by blocks once for all its buckets: more is compared than the buckets ask, never less.
+    """
     tagged = members.join(labels, "id")
-    sizes = tagged.groupBy("key", "c").count()
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("count", "c")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("key", F.col("top.c").alias("major"))
-    open_ = tagged.join(mixed, "key")
-    minor = open_.where("c <> major").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    every = open_.select("key", F.col("id").alias("y"), F.col("c").alias("cy"))
-    return minor.join(every, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sizes = tagged.groupBy("key", "c").agg(F.count("*").alias("count"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("count", "c")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = mixed.select("key", F.col("top.c").alias("major"), ((F.col("all") - F.col("top.count")) * F.col("all") > crowd).alias("crowded"))
+    open_ = store.cut(tagged.join(mixed, "key"), "open")
+    minor = open_.where("c <> major and not crowded").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
+    every = open_.where("not crowded").select("key", F.col("id").alias("y"), F.col("c").alias("cy"))
+    pairs = minor.join(every, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    crowds = open_.where("crowded").groupBy("major", "id").agg(F.max(F.col("c") != F.col("major")).alias("minor"))
+    return pairs, store.cut(crowds, "crowds")
+
+
+def _by_blocks(crowds: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links of the minor members of each crowd with all of it. A task holds one block of each; it returns a spanning forest of its links."""
+    sizes = crowds.groupBy("major").agg(F.ceil(F.count_if("minor") / block).cast("int").alias("nx"), F.ceil(F.count("*") / block).cast("int").alias("ny"))
+    spot = F.xxhash64("id")
+    dealt = crowds.join(sizes, "major").withColumns({"x": F.pmod(spot, F.col("nx")).cast("int"), "y": F.pmod(spot, F.col("ny")).cast("int")})
+    xs = dealt.where("minor").select("major", "id", F.lit(True).alias("minor"), "x", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"))
+    ys = dealt.select("major", "id", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"), "y")
+    rows = xs.unionByName(ys).join(sets, "id").select("major", "x", "y", "minor", "id", "s")
+
+    def compare(table: pa.Table) -> pa.Table:
+        minor = np.asarray(table["minor"].combine_chunks())
+        ids, lists = table["id"].to_numpy(), table["s"].combine_chunks()
+        n = np.asarray(lists.value_lengths()).astype(np.int64)
+        flat, begin = np.asarray(lists.flatten()), np.cumsum(n) - n
+        every = np.flatnonzero(~minor)
+        at = np.repeat(np.arange(len(every)), n[every])
+        values = np.concatenate([flat[begin[i] : begin[i] + n[i]] for i in every]) if len(every) else flat[:0]
+        order = np.argsort(values, kind="stable")
+        values, at = values[order], at[order]
+        a, b = [], []
+        for i in np.flatnonzero(minor).tolist():
+            own = flat[begin[i] : begin[i] + n[i]]
+            lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            m = hi - lo
+            hits = at[np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+            both = np.bincount(hits, minlength=len(every))
+            linked = np.flatnonzero(100 * both >= percent * (n[i] + n[every] - both))
+            linked = linked[ids[every[linked]] != ids[i]]
+            a.append(np.full(len(linked), ids[i]))
+            b.append(ids[every[linked]])
+        a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (a, b))
+        a, b = forest(a, b) if len(a) else (a, b)
+        return pa.table({"a": a, "b": b})
+
+    return rows.groupBy("major", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, store: Store, width: int = 5, percent: int = 80) -> DataFrame:

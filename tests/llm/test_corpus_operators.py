@@ -70,7 +70,8 @@ def test_minhash(store, documents, texts, width):
     assert any(not v[2] for v in got.values())
 
 
-def test_minhash_chains_and_large_groups(spark, store):
+@pytest.mark.parametrize("how", [{}, {"crowd": 0, "block": 16}])
+def test_minhash_chains_and_large_groups(spark, store, how):
     random.seed(4)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -80,7 +81,7 @@ def test_minhash_chains_and_large_groups(spark, store):
             w[random.randrange(120)] = f"x{random.randint(0, 500)}"
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in minhash.near_duplicates(docs, store).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in minhash.near_duplicates(docs, store, **how).collect()}
     assert got == expected_groups(dict(rows), 2, 80)
 
 
