@@ -30,7 +30,7 @@ _SPARK, _DUCK = _literals("D"), {k: f"{v}::double" for k, v in _literals("").ite
 
 #: Common table expressions for SQL over the same tables.
 CTE = ",\n".join(f"{name} AS ({sql.format(**_DUCK)})" for name, sql in (("fx_nodes", NODES), ("fx_edges", EDGES), ("fx_nodes2", NODES2), ("fx_edges2", EDGES2)))
-CANDIDATES = """cand AS (SELECT a.id AS g1_id, b.id AS g2_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance
+CANDIDATES = """cand AS MATERIALIZED (SELECT a.id AS g1_id, b.id AS g2_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance
   FROM fx_nodes a JOIN fx_nodes2 b ON b.x BETWEEN a.x - 20 AND a.x + 20 AND b.y BETWEEN a.y - 20 AND a.y + 20
   WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 20)"""
 NEAREST = "nn AS (SELECT g1_id, min(struct_pack(d := distance, i := g2_id)).i AS g2_id, min(distance) AS distance FROM cand WHERE distance < 20 GROUP BY g1_id)"

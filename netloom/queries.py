@@ -199,24 +199,36 @@ def gini_degree(x, store):
     return rounded(graph.gini(graph.degrees(x.nodes1, x.edges1), "degree"), "gini", "cv")
 
 
-CC = """cc(id, comp) USING KEY (id) AS (SELECT id, id FROM fx_nodes UNION
-  SELECT s.b, min(c.comp) FROM cc c JOIN sym s ON s.a = c.id JOIN recurring.cc r ON r.id = s.b WHERE c.comp < r.comp GROUP BY s.b)"""
+def _rounds(n: int) -> str:
+    """Components by n rounds of taking the least label around, for a whole component so far, and following labels once."""
+    out = ["c0 AS (SELECT id, id AS comp FROM fx_nodes)"]
+    for k in range(n):
+        out += [
+            f"n{k} AS MATERIALIZED (SELECT c.id, c.comp, least(c.comp, coalesce(min(d.comp), c.comp)) AS m FROM c{k} c LEFT JOIN sym s ON s.a = c.id LEFT JOIN c{k} d ON d.id = s.b GROUP BY c.id, c.comp)",
+            f"h{k} AS MATERIALIZED (SELECT comp, min(m) AS m FROM n{k} GROUP BY comp)",
+            f"j{k} AS MATERIALIZED (SELECT n.id, h.m AS comp FROM n{k} n JOIN h{k} h ON h.comp = n.comp)",
+            f"c{k + 1} AS MATERIALIZED (SELECT j.id, i.comp FROM j{k} j JOIN j{k} i ON i.id = j.comp)",
+        ]
+    return ",\n".join([*out, f"cc AS (SELECT * FROM c{n})"])
 
 
-@query("SELECT id, comp AS component FROM cc", (SYMMETRIC, CC), recursive=True)
+CC = _rounds(12)
+
+
+@query("SELECT id, comp AS component FROM cc", (SYMMETRIC, CC))
 def components(x, store):
     parts = connected(x.edges1.select(F.col("src").alias("a"), F.col("dst").alias("b")), store, "components")
     return x.nodes1.select("id").join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-@query(", s AS (SELECT comp, count(*) AS n FROM cc GROUP BY comp) SELECT (SELECT count(*) FROM fx_nodes) AS nodes, (SELECT count(*) FROM fx_nodes) AS located, (SELECT count(*) FROM fx_edges) AS edges, count(*) AS components, max(n) AS largest FROM s", (SYMMETRIC, CC), recursive=True)
+@query(", s AS (SELECT comp, count(*) AS n FROM cc GROUP BY comp) SELECT (SELECT count(*) FROM fx_nodes) AS nodes, (SELECT count(*) FROM fx_nodes) AS located, (SELECT count(*) FROM fx_edges) AS edges, count(*) AS components, max(n) AS largest FROM s", (SYMMETRIC, CC))
 def graph_stats(x, store):
     return stats.graph_statistics(x.nodes1, x.edges1, store)
 
 
 BFS = """b0 AS (SELECT id AS root, id, 0 AS depth FROM fx_nodes), b1 AS (SELECT DISTINCT a AS root, b AS id, 1 AS depth FROM sym),
 b2 AS (SELECT DISTINCT b1.root, sym.b AS id, 2 AS depth FROM b1 JOIN sym ON sym.a = b1.id), bfs AS (SELECT root, id, min(depth) AS depth FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2) GROUP BY root, id),
-ring AS (SELECT root, depth, list_sort(list(degree)) AS degrees FROM bfs JOIN deg USING (id) GROUP BY root, depth)"""
+ring AS MATERIALIZED (SELECT root, depth, list_sort(list(degree)) AS degrees FROM bfs JOIN deg USING (id) GROUP BY root, depth)"""
 
 
 @query("SELECT root, depth, array_to_string(degrees, ',') AS degrees FROM ring", (SYMMETRIC, DEGREES, BFS))
@@ -224,7 +236,7 @@ def khop_rings(x, store):
     return graph.rings(x.nodes1, x.edges1, 2, store).select("root", "depth", F.array_join(F.transform("degrees", lambda d: d.cast("string")), ",").alias("degrees"))
 
 
-BOUNDS = """bound AS (SELECT root AS id, depth AS k, ln(list_min(degrees) + 1.0) AS lo, ln(list_max(degrees) + 1.0) AS hi FROM ring)"""
+BOUNDS = """bound AS MATERIALIZED (SELECT root AS id, depth AS k, ln(list_min(degrees) + 1.0) AS lo, ln(list_max(degrees) + 1.0) AS hi FROM ring)"""
 
 
 @query("SELECT id, k, round(last_value(lo IGNORE NULLS) OVER w, 6) AS lo, round(last_value(hi IGNORE NULLS) OVER w, 6) AS hi FROM (SELECT n.id, g.k::int AS k, lo, hi FROM fx_nodes n CROSS JOIN range(0, 3) g(k) LEFT JOIN bound b ON b.id = n.id AND b.k = g.k) WINDOW w AS (PARTITION BY id ORDER BY k ROWS UNBOUNDED PRECEDING)", (SYMMETRIC, DEGREES, BFS, BOUNDS))
@@ -235,7 +247,7 @@ def structural_features(x, store):
 def _second(cte: str) -> str:
     """The same common table expressions for the second network."""
     for name in ("sym", "deg", "b0", "b1", "b2", "bfs", "ring", "bound"):
-        cte = cte.replace(f"{name} AS (", f"{name}_2 AS (")
+        cte = cte.replace(f"{name} AS (", f"{name}_2 AS (").replace(f"{name} AS MATERIALIZED (", f"{name}_2 AS MATERIALIZED (")
         for before in ("FROM ", "JOIN "):
             cte = cte.replace(f"{before}{name}", f"{before}{name}_2")
         cte = cte.replace(f"{name}.", f"{name}_2.") if name in ("sym", "b1") else cte
@@ -243,7 +255,8 @@ def _second(cte: str) -> str:
 
 
 BOTH_BOUNDS = (SYMMETRIC, DEGREES, BFS, BOUNDS, *map(_second, (SYMMETRIC, DEGREES, BFS, BOUNDS)))
-PAIRED = """paired AS (SELECT c.g1_id, c.g2_id, sum(abs(a.lo - b.lo) + abs(a.hi - b.hi)) AS d FROM cand c JOIN bound a ON a.id = c.g1_id JOIN bound_2 b ON b.id = c.g2_id AND a.k = b.k GROUP BY c.g1_id, c.g2_id)"""
+PAIRED = """half AS MATERIALIZED (SELECT c.g1_id, c.g2_id, a.k, a.lo, a.hi FROM cand c JOIN bound a ON a.id = c.g1_id),
+paired AS MATERIALIZED (SELECT a.g1_id, a.g2_id, sum(abs(a.lo - b.lo) + abs(a.hi - b.hi)) AS d FROM half a JOIN bound_2 b ON b.id = a.g2_id AND a.k = b.k GROUP BY a.g1_id, a.g2_id)"""
 
 
 def _bounds(x, store):
