@@ -62,11 +62,9 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Rows:
-    """A sparse 0/1 matrix by rows."""
+    """A sparse 0/1 matrix by rows: feature numbers one row after the other, and how many each row has."""
 
-    def __init__(self, lists: pa.ChunkedArray):
-        lists = lists.combine_chunks()
-        lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    def __init__(self, lists: pa.Array):
         self.index = np.asarray(lists.flatten()).astype(np.int64)
         self.counts = np.asarray(lists.value_lengths()).astype(np.int64)
 
@@ -78,11 +76,8 @@ class Rows:
 LEAST_Z, MOST_FEATURES = 4.0, 4096
 
 
-def telling(positive: Rows, unlabelled: Rows) -> np.ndarray:
-    """Features whose share of texts differs between the two kinds by more than chance would have it."""
-    size = 1 << BITS
-    p, u = np.bincount(positive.index, minlength=size), np.bincount(unlabelled.index, minlength=size)
-    n, m = len(positive), len(unlabelled)
+def telling(p: np.ndarray, u: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Features whose share of texts differs between the n toxic and the m unlabelled ones by more than chance would have it; p and u count them."""
     q = (p + u) / (n + m)
     z = (p / n - u / m) / np.sqrt(np.maximum(q * (1 - q) * (1 / n + 1 / m), 1e-12))
     z[p + u < 5] = 0
@@ -90,10 +85,9 @@ def telling(positive: Rows, unlabelled: Rows) -> np.ndarray:
     return np.sort(best[np.abs(z[best]) >= LEAST_Z])
 
 
-def fit(positive: Rows, unlabelled: Rows, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights of the features, the bias last, by Adam on the non-negative risk with the logistic loss over all rows at once."""
+def fit(positive: Rows, unlabelled: Rows, chosen: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights of the chosen features, the bias last, by Adam on the non-negative risk with the logistic loss over all rows at once."""
     size = 1 << BITS
-    chosen = telling(positive, unlabelled)
     number = np.full(size, -1)
     number[chosen] = np.arange(len(chosen))
 
@@ -146,11 +140,21 @@ def train(docs: DataFrame, labels: DataFrame, store: Store, toxic_rows: int = TO
     chosen = store.cut(chosen, "chosen")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
     picked = texts.join(small(chosen, toxic_rows + unlabelled_rows), "id").select("toxic", "t")
-    found = store.cut(picked.mapInArrow(_featurise, "toxic int, f array<int>"), "features").toArrow()
-    is_toxic = np.asarray(found["toxic"]) == 1
-    if not is_toxic.any() or is_toxic.all():
+    found = store.cut(picked.mapInArrow(_featurise, "toxic int, f array<int>"), "features")
+    n, m = (found.where(F.col("toxic") == k).count() for k in (1, 0))
+    if not n or not m:
         return None
-    return fit(Rows(found["f"].filter(pa.array(is_toxic))), Rows(found["f"].filter(pa.array(~is_toxic))), toxic / total)
+    # the driver sees how many texts have each of the 2**BITS features, and then of each text the few that tell
+    counts = found.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("u")).toArrow()
+    p, u = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    at = np.asarray(counts["f"])
+    p[at], u[at] = np.asarray(counts["p"]), np.asarray(counts["u"])
+    chosen = telling(p, u, n, m)
+    wanted = F.lit(chosen.tolist()).cast("array<int>") if len(chosen) else F.array().cast("array<int>")
+    few = found.select("toxic", F.array_intersect("f", wanted).alias("f")).toArrow().combine_chunks()
+    is_toxic = np.asarray(few["toxic"]) == 1
+    rows = [Rows(pa.concat_arrays(few["f"].filter(pa.array(k)).chunks)) for k in (is_toxic, ~is_toxic)]
+    return fit(*rows, chosen, toxic / total)
 
 
 def scores(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:

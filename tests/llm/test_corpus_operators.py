@@ -283,9 +283,10 @@ def test_risk_is_never_negative_and_learns():
 
     rng = np.random.default_rng(0)
     row = lambda toxic: sorted({*rng.integers(100, 5000, 40).tolist(), *([7, 8] if toxic else [])})
-    positive = toxicity.Rows(pa.chunked_array([pa.array([row(True) for _ in range(150)])]))
-    unlabelled = toxicity.Rows(pa.chunked_array([pa.array([row(i % 10 == 0) for i in range(800)])]))
-    w = toxicity.fit(positive, unlabelled, 0.1)
+    positive = toxicity.Rows(pa.array([row(True) for _ in range(150)]))
+    unlabelled = toxicity.Rows(pa.array([row(i % 10 == 0) for i in range(800)]))
+    counts = [np.bincount(r.index, minlength=1 << toxicity.BITS) for r in (positive, unlabelled)]
+    w = toxicity.fit(positive, unlabelled, toxicity.telling(*counts, 150, 800), 0.1)
     z = lambda f: w[f].sum() + w[-1]
     assert np.mean([z(row(True)) > 0 for _ in range(200)]) > 0.95 and np.mean([z(row(False)) < 0 for _ in range(200)]) > 0.95
 
