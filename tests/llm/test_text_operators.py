@@ -244,3 +244,18 @@ def test_line_dedup_awkward(store, awkward, empty):
     from netloom.llm.store import Store
 
     assert lines.without_repeated_lines(empty, Store(empty.sparkSession, "t")).count() == 0
+
+
+def test_line_dedup_short_lines(store, documents, texts):
+    """However few words an exact repeat has, it goes; counted without the operator's constants."""
+    seen, repeats = set(), set()
+    for i, t in sorted(texts.items()):
+        for k, line in enumerate(t.split("\n")):
+            w = tuple(x for x in SPACE.split(line) if x)
+            if w and len(w) < 10:  # longer lines may also go for another reason
+                if w in seen:
+                    repeats.add((i, k))
+                seen.add(w)
+    short = {(r["id"], k) for r in lines.repeated_lines(documents, store).collect() for k in r["gone"] if len(SPACE.split(texts[r["id"]].split("\n")[k].strip("\x20\x09\x0a\x0b\x0c\x0d"))) < 10}
+    assert short == repeats
+    assert any(len(texts[i].split("\n")[k].split()) < 5 for i, k in repeats)
