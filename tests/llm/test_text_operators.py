@@ -259,3 +259,45 @@ def test_line_dedup_short_lines(store, documents, texts):
     short = {(r["id"], k) for r in lines.repeated_lines(documents, store).collect() for k in r["gone"] if len(SPACE.split(texts[r["id"]].split("\n")[k].strip("\x20\x09\x0a\x0b\x0c\x0d"))) < 10}
     assert short == repeats
     assert any(len(texts[i].split("\n")[k].split()) < 5 for i, k in repeats)
+
+
+def test_within():
+    random.seed(5)
+    for _ in range(2000):
+        a = [random.randint(0, 3) for _ in range(random.randint(0, 12))]
+        b = list(a) if random.random() < 0.7 else [random.randint(0, 3) for _ in range(random.randint(0, 12))]
+        for _ in range(random.randint(0, 4)):
+            p = random.randint(0, len(b))
+            b[p : p + random.randint(0, 1)] = random.choice([[], [random.randint(0, 3)]])
+        for most in range(6):
+            assert lines.within(np.array(a), np.array(b), most) == (edits(a, b) <= most)
+
+
+def test_line_dedup_grown_edits(spark, store):
+    """Lines of every length from 18 words, with about as many edits as a tenth of the words, against all earlier lines."""
+    random.seed(4)
+    base = [[f"w{random.randint(0, 60)}" for _ in range(n)] for n in (18, 19, 20, 21, 29, 30, 45, 60, 101)]
+    rows = []
+    for i in range(60):
+        out = []
+        for _ in range(3):
+            w = list(random.choice(base))
+            for _ in range(random.randint(1, len(w) // 8)):
+                p = random.randrange(len(w))
+                w[p : p + random.randint(0, 1)] = random.choice([[], ["new"], [f"w{random.randint(0, 60)}"]])
+            out.append(w)
+        rows.append((i, out))
+    earlier, expected = [], 0
+    gone = {}
+    for i, out in rows:
+        for k, w in enumerate(out):
+            found = [d for v in earlier if abs(len(v) - len(w)) <= 12 and (d := edits(w, v)) <= min(len(v), len(w)) // 10]
+            if found:
+                gone.setdefault(i, set()).add(k)
+                expected += min(found) >= 2
+            earlier.append(w)
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(w) for w in out)) for i, out in rows], "doc_id long, text string")
+    found = lines.without_repeated_lines(docs, store).select("row.*").collect()
+    want = {i: "\n".join(" ".join(w) for k, w in enumerate(out) if k not in gone.get(i, ())) for i, out in rows}
+    assert {r["doc_id"]: r["text"] for r in found} == want
+    assert expected
