@@ -694,9 +694,13 @@ def degree_candidates(x, store):
     return struc2vec.candidates(graph.degrees(x.nodes1, x.edges1), store)
 
 
+#: Distance to which degree lists go, the reference's until_layer.
+UNTIL_LAYER = 6
+
+
 def _layers(x, store):
-    lists = store.cut(struc2vec.compact(struc2vec.degree_lists(x.nodes1, x.edges1, 1, Store(x.spark, "lists"))), "compact")
-    pairs = struc2vec.candidates(graph.degrees(x.nodes1, x.edges1), Store(x.spark, "pairs"), 4)
+    lists = store.cut(struc2vec.compact(struc2vec.degree_lists(x.nodes1, x.edges1, UNTIL_LAYER, Store(x.spark, "lists"))), "compact")
+    pairs = struc2vec.candidates(graph.degrees(x.nodes1, x.edges1), Store(x.spark, "pairs"))
     return struc2vec.layer_graph(struc2vec.layer_distances(pairs, lists, store))
 
 

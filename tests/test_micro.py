@@ -260,3 +260,19 @@ def test_top_examples(spark):
     s = spark.createDataFrame([("G1_1", f"G{1 + i % 2}_{i}", 1 - i / 100) for i in range(50)], "word string, other string, similarity double")
     got = diagnostics.top_examples(s, "G2", scan=10, top=3).orderBy("rank").collect()
     assert [r["other"] for r in got] == ["G2_1", "G2_3", "G2_5"]
+
+
+def test_layer_graph_has_every_partner_and_layer(spark, store):
+    """A path of 20 nodes with two branches: floor(2 log2 n) + 1 partners of nearest degree, and layers to depth 6."""
+    from types import SimpleNamespace
+
+    from netloom import queries
+
+    links = [(i, i + 1) for i in range(17)] + [(5, 18), (9, 19)]
+    degree = {i: sum(i in e for e in links) for i in range(20)}
+    nodes = spark.createDataFrame([(i,) for i in range(20)], "id long")
+    edges = spark.createDataFrame(links, "src long, dst long")
+    found = queries._layers(SimpleNamespace(spark=spark, nodes1=nodes, edges1=edges), store).collect()
+    pairs = [(v, u) for v in range(20) for u in sorted((u for u in range(20) if u != v), key=lambda u: (abs(degree[u] - degree[v]), -degree[u], u))[:9]]
+    assert sorted((r["v"], r["u"]) for r in found if r["depth"] == 0) == sorted(pairs + [(u, v) for v, u in pairs])
+    assert {r["depth"] for r in found} == set(range(7))
