@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows of a key table (some 16 bytes each) up to which it may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of a batch that goes to a Python worker, about. Batches of long texts have fewer rows.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -26,13 +29,23 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_open: list[Store] = []
+
+
 class Store:
-    """Written tables of one operator call. cut() writes and rereads one; free() deletes those no longer read."""
+    """Written tables of one operator call. cut() writes and rereads one; free() deletes those no longer read; close() deletes all.
+
+    A result may still read tables of its store, so whoever has written or collected it closes the store, or all stores with close_all(). In the
+    session, batches for Python workers are bounded in bytes unless it sets a smaller bound itself.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+            spark.conf.set(_BATCH, str(BATCH_BYTES))
+        _open.append(self)
 
     def cut(self, df: DataFrame, name: str, mode: str = "errorifexists", partition_by: str | None = None) -> DataFrame:
         path = self.paths.setdefault(name, f"{self.root}/{name}")
@@ -50,6 +63,18 @@ class Store:
         for name in names:
             delete(self.spark, self.paths.pop(name))
 
+    def close(self) -> None:
+        self.paths.clear()
+        delete(self.spark, self.root)
+        if self in _open:
+            _open.remove(self)
+
+
+def close_all() -> None:
+    """Deletes the tables of all stores: after the results of queries have been written or collected."""
+    for store in list(_open):
+        store.close()
+
 
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
