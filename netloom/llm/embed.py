@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, forest
-from .store import Store
+from ..operators.components import components, forest
+from ..store import Store
 
 #: Vectors that centroids and codebooks are fitted on: the first so many in the order of a hash of their id.
 TRAIN_ROWS = 16_384

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Store, id_key, small
+from ..store import Store, id_key, small
 from .textbytes import slabs
 
 PRIME = 2**31 - 1

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, forest
-from .store import Store, id_key, small
+from ..operators.components import components, forest
+from ..store import Store, id_key, small
 from .textbytes import BASE, LOWER, mix, prefix_sums, slabs, span_hash, word_spans
 
 #: Bands and rows: two sets of similarity 0.8 miss every band with probability (1 - 0.8**6)**48 < 1e-6.

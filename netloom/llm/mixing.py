@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Store, small
+from ..store import Store, small
 
 #: Documents of a block, about; larger sources have more blocks.
 BLOCK_ROWS = 1024

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Store, doc_key
+from ..store import Store, doc_key
 from .textbytes import BASE, BASE_2, inverse_powers, mix, powers, slabs
 
 LENGTH, K = 200, 48

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Store, small
+from ..store import Store, small
 from .textbytes import BASE, LOWER, SPACE, prefix_sums, slabs, span_hash
 
 #: Texts that the model is fitted on, at most: toxic ones, and unlabelled ones. Each is the first so many in the order of a hash of the id.
@@ -72,21 +72,22 @@ class Rows:
         return len(self.counts)
 
 
-#: Standard errors by which a feature's share of toxic and of unlabelled texts must differ, and the most features that are kept.
-LEAST_Z, MOST_FEATURES = 4.0, 4096
+#: Standard errors by which a feature's share of toxic and of unlabelled texts must differ, and texts that must have it: parameters of the model.
+LEAST_Z, LEAST_TEXTS = 4.0, 5
 
 
 def telling(p: np.ndarray, u: np.ndarray, n: int, m: int) -> np.ndarray:
     """Features whose share of texts differs between the n toxic and the m unlabelled ones by more than chance would have it; p and u count them."""
     q = (p + u) / (n + m)
     z = (p / n - u / m) / np.sqrt(np.maximum(q * (1 - q) * (1 / n + 1 / m), 1e-12))
-    z[p + u < 5] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
-    return np.sort(best[np.abs(z[best]) >= LEAST_Z])
+    return np.flatnonzero((np.abs(z) >= LEAST_Z) & (p + u >= LEAST_TEXTS))
 
 
-def fit(positive: Rows, unlabelled: Rows, chosen: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights of the chosen features, the bias last, by Adam on the non-negative risk with the logistic loss over all rows at once."""
+def fit(positive: Rows, unlabelled: Rows, chosen: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 0.3) -> np.ndarray:
+    """Weights of the chosen features, the bias last, by Adam on the non-negative risk with the logistic loss over all rows at once.
+
+    decay pulls weights to 0 and is shared among the toxic texts, so that the more there are, the less it pulls.
+    """
     size = 1 << BITS
     number = np.full(size, -1)
     number[chosen] = np.arange(len(chosen))
@@ -107,8 +108,8 @@ def fit(positive: Rows, unlabelled: Rows, chosen: np.ndarray, prior: float, step
             gp, gu = prior * (sp - 1) / n - prior * sp / n, su / m
         else:  # climb the negative part back to zero
             gp, gu = prior * sp / n, -su / m
-        g = np.bincount(np.concatenate([pf, uf]), np.concatenate([gp[pr], gu[ur]]), minlength=k + 1)
-        g[:-1] += decay * w[:-1]
+        g = np.bincount(np.concatenate([pf, uf]), np.concatenate([gp[pr], gu[ur]]), minlength=k + 1).astype(float)  # of no cells, counts are integers
+        g[:-1] += decay / n * w[:-1]
         g[-1] = gp.sum() + gu.sum()
         mean += 0.1 * (g - mean)
         square += 0.001 * (g * g - square)
@@ -124,7 +125,11 @@ def held_out(column: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, store: Store, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> np.ndarray | None:
-    """Weights from at most so many toxic and unlabelled texts; None without a toxic or without an unlabelled one."""
+    """Weights from at most so many toxic and unlabelled texts; None without a toxic one or without another label.
+
+    Labels of held-out rows are not read. The unlabelled texts are any documents that are not held out, labelled or not. Null texts are empty; rows
+    that repeat an id are each a text; labels that repeat one count as toxic if any does.
+    """
     learn = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isNotNull())
     learn = learn.where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     # the share of toxic texts is taken over all labels; the texts are those that a hash of the id puts first
@@ -135,9 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, store: Store, toxic_rows: int = TO
     order = F.xxhash64("id")
     # the unlabelled texts are any, toxic ones among them: their labels are not looked at
     toxic_ones = learn.where("toxic = 1").orderBy(order, "id").limit(toxic_rows)
-    unlabelled = learn.select("id", F.lit(0).alias("toxic")).orderBy(order, "id").limit(unlabelled_rows)
-    chosen = toxic_ones.unionByName(unlabelled)
-    chosen = store.cut(chosen, "chosen")
+    every = docs.select(F.col("doc_id").cast("long").alias("id")).where(F.col("id").isNotNull() & ~held_out("id"))
+    unlabelled = every.distinct().orderBy(order, "id").limit(unlabelled_rows).select("id", F.lit(0).alias("toxic"))
+    chosen = store.cut(toxic_ones.unionByName(unlabelled), "chosen")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
     picked = texts.join(small(chosen, toxic_rows + unlabelled_rows), "id").select("toxic", "t")
     found = store.cut(picked.mapInArrow(_featurise, "toxic int, f array<int>"), "features")
@@ -157,27 +162,21 @@ def train(docs: DataFrame, labels: DataFrame, store: Store, toxic_rows: int = TO
     return fit(*rows, chosen, toxic / total)
 
 
-def scores(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """docs with the columns score (0 to 1) and predicted; null text is empty. Without weights every score is 0."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(None if weights is None else weights.astype(np.float32))  # 2**BITS + 1 floats
+def scores(docs: DataFrame, weights: np.ndarray | None) -> Column:
+    """A column for the score (0 to 1) of the column text of docs; null text is empty. Without weights every score is 0."""
+    if weights is None:
+        return F.lit(0.0)
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2**BITS + 1 floats
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for batch in batches:
-            z = np.full(len(batch), -np.inf)
-            if w is not None:
-                for row, buf, off in slabs(batch.column(1)):
-                    numbers, counts = features(buf, off)
-                    at = np.repeat(np.arange(len(counts)), counts)
-                    z[row : row + len(counts)] = np.bincount(at, w[numbers], minlength=len(counts)) + w[-1]
-            score = np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["row", "t", "score"])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        w, z = shared.value, np.zeros(len(texts))
+        for row, buf, off in slabs(texts):
+            numbers, counts = features(buf, off)
+            z[row : row + len(counts)] = np.bincount(np.repeat(np.arange(len(counts)), counts), w[numbers], minlength=len(counts)) + w[-1]
+        return pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("t"))
-    found = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, t string, score double")
-    return found.select("row", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, store: Store) -> DataFrame:
@@ -186,11 +185,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, store: Store) -> DataFrame:
     Labels are learned only where crc32(doc_id as text) mod 5 is not 0. Scores depend on the text alone: null text is empty and scored as such; rows
     that repeat are each scored; a row without an id is not held out. Without both kinds of labels every score is 0. Other columns are ignored.
     """
-    weights = train(docs, labels, store)
-    found = scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), weights)
-    return found.select("row.doc_id", F.coalesce(held_out("row.doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    found = rows.select("doc_id", scores(rows, train(docs, labels, store)).alias("score"))
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, store: Store) -> DataFrame:
-    """docs whose predicted is 0; the columns stay as they are."""
-    return scores(docs, train(docs, labels, store)).where("predicted = 0").select("row.*")
+    """docs whose score is below one half, so that predicted is 0; the columns stay as they are. Null texts are scored as empty; rows that repeat go or stay together."""
+    return docs.where(scores(docs, train(docs, labels, store)) < 0.5)

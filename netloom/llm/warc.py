@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Store, delete, small
+from ..store import Store, delete, small
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_REVISIT = 100

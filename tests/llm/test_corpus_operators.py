@@ -11,8 +11,8 @@ from test_text_operators import SPACE
 
 import corpus_pipeline
 from netloom.llm import embed, minhash, mixing, queries, toxicity, warc
-from netloom.llm.components import components
-from netloom.llm.store import Store
+from netloom.operators.components import components
+from netloom.store import Store
 
 
 class Union(dict):
@@ -278,6 +278,38 @@ def test_toxicity(spark, sf_dir, awkward, empty):
     assert toxicity.without_toxic(awkward, few.limit(0), Store(spark, "t")).columns == awkward.columns
 
 
+def test_toxicity_of_small_tables(spark, sf_dir):
+    """Too few labels for any feature to tell: every row still gets a score."""
+    assert queries.op9_toxicity(spark, sf_dir).where("score between 0 and 1").count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    docs = spark.createDataFrame([(i, "some words" if i % 3 else None) for i in range(1, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i < 4)) for i in range(1, 9)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(docs, labels, Store(spark, "t")).where("score between 0 and 1").count() == 8
+
+
+def test_fit_by_brute_force():
+    """The same steps with dense loops and the gradient by finite differences, through the part where the unlabelled risk is clipped."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    row = lambda toxic: sorted({*rng.choice(6, 2).tolist(), *([6] if toxic else [])})
+    p, u, prior, decay, steps = [row(True) for _ in range(12)], [row(i % 4 == 0) for i in range(30)], 0.4, 0.3, 60
+    got = toxicity.fit(toxicity.Rows(pa.array(p)), toxicity.Rows(pa.array(u)), np.arange(7), prior, steps=steps, decay=decay)
+    loss = lambda w, rows, y: sum(math.log1p(math.exp(-y * (sum(w[f] for f in r) + w[-1]))) for r in rows) / len(rows)
+    unlabelled = lambda w: loss(w, u, -1) - prior * loss(w, p, -1)
+    w, mean, square, clipped = np.zeros(8), np.zeros(8), np.zeros(8), 0
+    w[-1] = math.log(prior / (1 - prior))
+    for t in range(1, steps + 1):
+        low = unlabelled(w) < 0
+        clipped += low
+        goal = (lambda v: -unlabelled(v)) if low else (lambda v: prior * loss(v, p, 1) + unlabelled(v))
+        g = np.array([(goal(w + e) - goal(w - e)) / 2e-5 for e in np.eye(8) * 1e-5])
+        g[:-1] += decay / len(p) * w[:-1]
+        mean, square = mean + 0.1 * (g - mean), square + 0.001 * (g * g - square)
+        w = w - 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(got[[*range(7), -1]], w, atol=1e-4), (got[:7], w)
+    assert 0 < clipped < steps
+
+
 def test_risk_is_never_negative_and_learns():
     import pyarrow as pa
 
