@@ -216,12 +216,18 @@ def top_similar(e1: DataFrame, e2: DataFrame, k: int, block: int = 2048) -> Data
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def posthoc_alignment(nodes1: DataFrame, nodes2: DataFrame, e1: DataFrame, e2: DataFrame, anchor_pairs: DataFrame, dim: int, store: Store, candidates: str = "embedding_topk", k: int = 50, radius: float = 20.0) -> DataFrame:
-    """Map e1 onto e2 by the anchors, then match one-to-one at cost 1 - cosine among the top k by embedding or within a radius."""
+def posthoc_alignment(nodes1: DataFrame, nodes2: DataFrame, e1: DataFrame, e2: DataFrame, anchor_pairs: DataFrame | None, dim: int, store: Store, candidates: str = "embedding_topk", k: int = 50, radius: float = 20.0) -> DataFrame:
+    """Map e1 onto e2 by the anchors, then match one-to-one at cost 1 - cosine among the top k by embedding or within a radius.
+
+    Without anchors the vectors are compared as they are.
+    """
     from .spatial import radius_join
 
-    both = anchor_pairs.join(e1.select(F.col("id").alias("g1_id")), "g1_id", "left_semi").join(e2.select(F.col("id").alias("g2_id")), "g2_id", "left_semi")
-    mapped = rotated(e1, procrustes(gram(both, e1, e2), dim))
+    if anchor_pairs is None:
+        mapped = e1.select("id", unit("vec").alias("vec"))
+    else:
+        both = anchor_pairs.join(e1.select(F.col("id").alias("g1_id")), "g1_id", "left_semi").join(e2.select(F.col("id").alias("g2_id")), "g2_id", "left_semi")
+        mapped = rotated(e1, procrustes(gram(both, e1, e2), dim))
     target = e2.select("id", unit("vec").alias("vec"))
     if candidates == "embedding_topk":
         pairs = top_similar(mapped, target, k).select("g1_id", "g2_id", "similarity")

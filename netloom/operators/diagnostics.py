@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,35 @@ def correlations(scored: DataFrame, a: str = "distance", b: str = "similarity")
     return ranks.agg(F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
 
 
+def p_value(r: float, n: int) -> float:
+    """Two-sided probability of a correlation at least as far from 0 in n independent pairs: Student's t with n - 2 degrees of freedom."""
+    if n < 3 or r is None:
+        return float("nan")
+    if abs(r) >= 1:
+        return 0.0
+    return incomplete_beta((n - 2) / 2, 0.5, 1 - r * r)
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    out = d
+    for k in range(1, 10_000):
+        for top in (k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)), -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))):
+            d = 1 / ((1 + top * d) or tiny)
+            c = (1 + top / c) or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
 def vector_statistics(embeddings: DataFrame) -> DataFrame:
     """Norms and values: mean, population deviation, bounds."""
     lengths = embeddings.select(norm("vec").alias("n")).agg(F.count("*").alias("vectors"), F.avg("n").alias("norm_mean"), F.stddev_pop("n").alias("norm_std"), F.min("n").alias("norm_min"), F.max("n").alias("norm_max"))

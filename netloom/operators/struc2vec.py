@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import uniform
 from ..store import Store
-from .graph import rings
+from .graph import degrees, rings
 
 
 def degree_lists(nodes: DataFrame, edges: DataFrame, layers: int, store: Store) -> DataFrame:
@@ -132,40 +134,97 @@ def move_up(g):
     return x / (1.0 + x)
 
 
+#: Choices of a node that one row of the walks' table holds, about; and draws looked at in a round.
+CHOICES, DRAWS = 8, 12
+
+
+def walk_table(layers: DataFrame, store: Store) -> DataFrame:
+    """(depth, v, bucket, choices): the neighbours of a node in a layer by running weight, dealt by equal parts of [0, 1).
+
+    A draw s finds its neighbour in part floor(s * parts) alone, however many neighbours the node has: a hub's list is never met as a whole. Each
+    choice is (cdf, u, meta of u); the meta of a node lists, by depth, its number of parts and its gamma, null where it has no neighbours.
+    """
+    run = Window.partitionBy("depth", "v").orderBy("u", "w").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = layers.withColumn("cdf", F.sum("w").over(run)).withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("depth", "v")) / CHOICES).cast("int"))
+    sized = store.cut(sized, "cdf")
+    nodes = sized.groupBy("depth", "v").agg(F.first("parts").alias("parts"), F.max("cdf").alias("last")).join(gamma(layers), ["depth", "v"])
+    nodes = store.cut(nodes, "layer-nodes")
+    each = F.struct("depth", F.struct("parts", "gamma").alias("m"))
+    by_depth = F.map_from_entries(F.collect_list(each))
+    meta = nodes.groupBy("v").agg(by_depth.alias("m"), F.max("depth").alias("top")).select("v", F.transform(F.sequence(F.lit(0), "top"), lambda d: F.element_at("m", d)).alias("meta"))
+    meta = store.cut(meta, "layer-meta")
+    # the last choice of a node also takes what rounding leaves up to 1
+    bounds = sized.join(nodes.select("depth", "v", "last"), ["depth", "v"])
+    low = F.greatest(F.floor((F.col("cdf") - F.col("w")) * F.col("parts") - 1e-6), F.lit(0))
+    high = F.when(F.col("cdf") >= F.col("last"), F.col("parts") - 1).otherwise(F.least(F.floor(F.col("cdf") * F.col("parts") + 1e-6), F.col("parts") - 1))
+    dealt = bounds.select("depth", "v", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("bucket"), "cdf", "u")
+    dealt = dealt.join(meta.select(F.col("v").alias("u"), "meta"), "u")
+    return store.cut(dealt.groupBy("depth", "v", "bucket").agg(F.array_sort(F.collect_list(F.struct("cdf", "u", "meta"))).alias("choices")), "layer-table")
+
+
 def layer_walks(layers: DataFrame, nodes: DataFrame, store: Store, per_node: int = 10, length: int = 80, stay: float = 0.3, seed: int = 42, cut_every: int = 6) -> DataFrame:
     """nodes(id) to (walk, tokens): walks of `length` nodes; with probability `stay` a step in the layer, else a move between layers.
 
-    Moving does not lengthen a walk; a walk without neighbours in its layer moves down. Every draw is a hash of (seed, walk, draw).
+    Moving does not lengthen a walk; a walk at depth 0 without neighbours there ends. Every draw is a hash of (seed, walk, draw): of the least neighbour
+    u whose running weight reaches the draw, or the last. Walks advance by a join a step; moves between layers need none, as a walk carries what its
+    node has in each layer. Steps are written as they are made and collected once.
     """
-    run = Window.partitionBy("depth", "v").orderBy("u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    table = layers.withColumn("cdf", F.sum("w").over(run)).groupBy("depth", "v").agg(F.array_sort(F.collect_list(F.struct("cdf", "u"))).alias("nbrs"))
-    table = store.cut(table.join(gamma(layers), ["depth", "v"]), "layer-table")
-    top = table.groupBy("v").agg(F.max("depth").alias("top"))
-    now = nodes.select(F.col("id").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("i")).select(F.concat_ws("#", "v", "i").alias("walk"), "v", F.lit(0).alias("depth"), F.array(F.col("v").cast("string")).alias("tokens"))
-    now = now.join(top, "v", "left").withColumn("top", F.coalesce("top", F.lit(0)))
-    k = 0
+    table = walk_table(layers, store)
+    meta = store.spark.read.parquet(store.paths["layer-meta"])
+    start = nodes.select(F.col("id").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("i")).join(meta, "v", "left")
+    now = start.select(F.concat_ws("#", "v", "i").alias("walk"), "v", "meta", F.lit(0).alias("depth"), F.lit(0).alias("draw"), F.lit(1).alias("size"), F.array("v").alias("recent"))
+    here = lambda state: F.get("meta", state["depth"])
+
+    def draw(state, j):
+        """One draw of a walk that has neither stepped (at) nor ended."""
+        r, s = uniform(seed, "walk", j, F.lit(1)), uniform(seed, "walk", j, F.lit(2))
+        some = here(state)
+        up = (s < move_up(F.coalesce(some["gamma"], F.lit(0)))) & (state["depth"] < F.size("meta") - 1)
+        moved = F.when(up, state["depth"] + 1).otherwise(F.greatest(state["depth"] - 1, F.lit(0)))
+        ends = some.isNull() & (state["depth"] == 0)
+        steps = (r < stay) & some.isNotNull()
+        over = state["ended"] | (state["at"] >= 0)
+        depth = F.when(over | ends | steps, state["depth"]).otherwise(moved)
+        return F.struct(depth.cast("int").alias("depth"), F.when(~over & steps, j).otherwise(state["at"]).cast("int").alias("at"), (state["ended"] | (~over & ends)).alias("ended"))
+
+    done, k = [], 0
     while True:
-        live = F.size("tokens") < length
-        r, s = uniform(seed, "walk", F.lit(k), F.lit(1)), uniform(seed, "walk", F.lit(k), F.lit(2))
-        joined = now.join(table, ["v", "depth"], "left")
-        pick = F.coalesce(F.get(F.filter("nbrs", lambda x: x["cdf"] >= s), F.lit(0)), F.element_at("nbrs", -1))["u"]
-        stepped = live & (r < stay) & F.col("nbrs").isNotNull()
-        up = F.when((s < move_up(F.coalesce("gamma", F.lit(0)))) & (F.col("depth") < F.col("top")), F.col("depth") + 1).otherwise(F.greatest(F.col("depth") - 1, F.lit(0)))
-        ended = live & F.col("nbrs").isNull() & (F.col("depth") == 0)
-        moved = joined.select(
+        begin = F.struct(F.col("depth").cast("int").alias("depth"), F.lit(-1).alias("at"), F.lit(False).alias("ended"))
+        state = F.aggregate(F.sequence(F.col("draw"), F.col("draw") + DRAWS - 1), begin, draw)
+        live = (F.col("size") < length) & F.col("meta").isNotNull()
+        moved = now.withColumn("state", F.when(live, state)).withColumn("s", uniform(seed, "walk", F.col("state.at"), F.lit(2)))
+        bucket = F.when(F.col("state.at") >= 0, F.least(F.floor(F.col("s") * here(F.col("state"))["parts"]), here(F.col("state"))["parts"] - 1).cast("int"))
+        moved = moved.withColumn("to", F.struct(F.col("state.depth").alias("depth"), F.col("v"), bucket.alias("bucket")))
+        joined = moved.join(table.select(F.struct("depth", "v", "bucket").alias("to"), "choices"), "to", "left")
+        pick = F.coalesce(F.get(F.filter("choices", lambda x: x["cdf"] >= F.col("s")), F.lit(0)), F.element_at("choices", -1))
+        joined = joined.withColumn("pick", pick)
+        stepped = F.col("pick").isNotNull()
+        now = joined.select(
             "walk",
-            F.when(stepped, pick).otherwise(F.col("v")).alias("v"),
-            F.when(live & ~stepped, up).otherwise(F.col("depth")).cast("int").alias("depth"),
-            F.when(stepped, F.concat("tokens", F.array(pick.cast("string")))).otherwise(F.col("tokens")).alias("tokens"),
-            (~live | ended).alias("over"),
-            stepped.alias("stepped"),
+            F.coalesce("pick.u", "v").alias("v"),
+            F.when(F.coalesce("state.ended", F.lit(True)), F.lit(None)).when(stepped, F.col("pick.meta")).otherwise(F.col("meta")).alias("meta"),
+            F.coalesce("state.depth", "depth").alias("depth"),
+            F.when(stepped, F.col("state.at") + 1).otherwise(F.col("draw") + DRAWS).alias("draw"),
+            (F.col("size") + stepped.cast("int")).alias("size"),
+            F.when(stepped, F.concat("recent", F.array("pick.u"))).otherwise(F.col("recent")).alias("recent"),
         )
-        moved = moved.join(top, "v", "left").withColumn("top", F.coalesce("top", F.lit(0)))
         k += 1
-        now = moved.drop("over", "stepped")
         if k % cut_every == 0:
-            moved = store.cut(moved, f"walks-{k}")
-            now = moved.drop("over", "stepped")
-            if not moved.where((F.size("tokens") < length) & ~F.col("over")).limit(1).count():
+            now = store.cut(now, f"walks-{k}")
+            done.append(now.select("walk", F.lit(k).alias("k"), "recent"))
+            now = now.where((F.col("size") < length) & F.col("meta").isNotNull()).withColumn("recent", F.array().cast("array<long>"))
+            if not now.limit(1).count():
                 break
-    return now.select("walk", "tokens")
+    steps = functools.reduce(DataFrame.unionByName, done)
+    return steps.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("k", "recent"))).alias("parts")).select("walk", F.transform(F.flatten("parts.recent"), lambda x: x.cast("string")).alias("tokens"))
+
+
+def vectors(nodes: DataFrame, edges: DataFrame, store: Store, until_layer: int = 6, per_node: int = 10, length: int = 80, count: int | None = None, seed: int = 42, dim: int = 128, window: int = 10, epochs: int = 5) -> DataFrame:
+    """(id, vec) of structural identity, end to end: degree lists, candidates, layers, walks, skip-gram."""
+    from .embedding import skip_gram_hs
+
+    lists = store.cut(compact(degree_lists(nodes, edges, until_layer, store)), "s2v-lists")
+    pairs = candidates(degrees(nodes, edges), store, count)
+    layers = store.cut(layer_graph(layer_distances(pairs, lists, store)), "s2v-layers")
+    walks = store.cut(layer_walks(layers, nodes, store, per_node, length, seed=seed), "s2v-walks")
+    return skip_gram_hs(walks, dim=dim, window=window, epochs=epochs, seed=seed).select(F.col("word").cast("long").alias("id"), "vec")

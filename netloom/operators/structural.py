@@ -87,3 +87,10 @@ def top_pairs(f1: DataFrame, f2: DataFrame, alpha: float, m: int, block: int = B
     near = a.unionByName(b).groupBy("b1", "b2").applyInArrow(compare, "g1_id long, g2_id long, similarity double")
     w = Window.partitionBy("g1_id").orderBy(F.desc("similarity"), "g2_id")
     return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= m).drop("r")
+
+
+def top_pairs_both(f1: DataFrame, f2: DataFrame, alpha: float, m: int, block: int = BLOCK) -> DataFrame:
+    """(g1_id, g2_id, similarity): the m closest g2 nodes of each g1 node and the m closest g1 nodes of each g2 node, each pair once."""
+    there = top_pairs(f1, f2, alpha, m, block)
+    back = top_pairs(f2, f1, alpha, m, block).select(F.col("g2_id").alias("g1_id"), F.col("g1_id").alias("g2_id"), "similarity")
+    return there.unionByName(back).groupBy("g1_id", "g2_id").agg(F.max("similarity").alias("similarity"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -274,7 +275,19 @@ def similarity_stats(x, store):
     return rounded(align.similarity_statistics(found), "mean", "median", "std", "min", "max")
 
 
-@query()
+def _wide(number: str) -> str:
+    """Feature rows of a network, and its classes of nodes with equal features."""
+    return f"""filled{number} AS (SELECT id, k, last_value(lo IGNORE NULLS) OVER w AS lo, last_value(hi IGNORE NULLS) OVER w AS hi FROM (SELECT n.id, g.k::int AS k, lo, hi FROM fx_nodes{number.strip("_")} n CROSS JOIN range(0, 3) g(k) LEFT JOIN bound{number} b ON b.id = n.id AND b.k = g.k) WINDOW w AS (PARTITION BY id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+feat{number} AS MATERIALIZED (SELECT id, list(lo ORDER BY k) || list(hi ORDER BY k) AS f FROM filled{number} GROUP BY id)"""
+
+
+@query(
+    """, kinds AS (SELECT DISTINCT f FROM feat), pool AS (SELECT id, f, row_number() OVER (PARTITION BY f ORDER BY id) AS r FROM feat_2),
+near AS (SELECT a.f, b.id, round(list_sum(list_transform(range(1, 7), lambda i: abs(a.f[i] - b.f[i]))), 12) AS d FROM kinds a, pool b WHERE b.r <= 10),
+best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY f ORDER BY d, id) <= 10)
+SELECT feat.id AS g1_id, best.id AS g2_id, round(exp(-0.5 * d), 6) AS similarity FROM feat JOIN best USING (f)""",
+    (*BOTH_BOUNDS, _wide(""), _wide("_2")),
+)
 def structural_topm(x, store):
     sides = [structural.vectors(structural.features(b, 2)) for b in _bounds(x, store)]
     return rounded(structural.top_pairs(*sides, 0.5, 10), "similarity")
@@ -367,13 +380,33 @@ def walk_steps(x, store):
     return walks.step_statistics(_walks(x, store))
 
 
-@query()
+CENA = """names AS (SELECT 'G1_' || id AS node FROM fx_nodes UNION ALL SELECT 'G2_' || id FROM fx_nodes2),
+same AS (SELECT node, list(nbr ORDER BY nbr) AS same FROM adj WHERE edge_type LIKE 'within%' GROUP BY node),
+share AS (SELECT node, nbr, weight / sum(weight) OVER (PARTITION BY node) AS p FROM adj WHERE edge_type = 'cross_graph'),
+crossing AS (SELECT node, list(nbr ORDER BY nbr) AS cn, list(cdf ORDER BY nbr) AS cc FROM (SELECT node, nbr, sum(p) OVER (PARTITION BY node ORDER BY nbr ROWS UNBOUNDED PRECEDING) AS cdf FROM share) GROUP BY node),
+choice AS (SELECT coalesce(same.node, crossing.node) AS node, same, cn, cc FROM same FULL JOIN crossing ON same.node = crossing.node),
+step(walk, node, k, tokens) AS (SELECT node || '#0', node, 0, [node] FROM names UNION ALL
+  SELECT walk, nxt, k + 1, list_append(tokens, nxt) FROM (SELECT walk, k, tokens, CASE WHEN cn IS NULL OR (want AND same IS NOT NULL) THEN same[least(floor(r * len(same)), len(same) - 1)::int + 1]
+      ELSE cn[greatest(coalesce(list_position(list_transform(cc, lambda z: r <= z), true), 0), 1)] END AS nxt
+    FROM (SELECT s.*, c.same, c.cn, c.cc, cast('0x' || substr(md5(concat_ws(':', '42', s.walk, (s.k + 1)::varchar, '2')), 1, 13) AS bigint) / 4503599627370496.0::double AS r,
+      cast('0x' || substr(md5(concat_ws(':', '42', s.walk, (s.k + 1)::varchar, '1')), 1, 13) AS bigint) / 4503599627370496.0::double < 0.5 AS want FROM step s JOIN choice c ON c.node = s.node WHERE s.k < 7))),
+walk AS (SELECT walk, arg_max(tokens, k) AS tokens FROM step GROUP BY walk)"""
+
+
+@query("SELECT walk, array_to_string(tokens, ' ') AS tokens FROM walk", (CANDIDATES, COMPOUND, ADJACENCY, CENA), recursive=True)
 def walks_cena(x, store):
     found = walks.biased_walks(compound.adjacency(_compound(x)), _names(x), store, 1, 8, 0.5, 42)
     return found.select("walk", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query()
+DEEPWALK = (
+    """flat AS (SELECT 'G1_' || src AS node, 'G1_' || dst AS nbr FROM fx_edges WHERE src <> dst UNION ALL SELECT 'G1_' || dst, 'G1_' || src FROM fx_edges WHERE src <> dst),
+adj AS (SELECT node, nbr, row_number() OVER (PARTITION BY node ORDER BY nbr) / count(*) OVER (PARTITION BY node) AS cdf FROM flat)""",
+    WALK.replace("UNION ALL SELECT 'G2_' || id FROM fx_nodes2)", "), starts AS (SELECT node, i FROM names, range(0, 2) t(i))").replace("SELECT node || '#0', node, 0, [node] FROM names", "SELECT node || '#' || i, node, 0, [node] FROM starts"),
+)
+
+
+@query("SELECT walk, array_to_string(tokens, ' ') AS tokens FROM walk", DEEPWALK, recursive=True)
 def walks_deepwalk(x, store):
     found = walks.weighted_walks(walks.uniform_adjacency(x.edges1, "G1"), x.nodes1.select(F.concat(F.lit("G1_"), "id").alias("node")), store, 2, 8, 42)
     return found.select("walk", F.array_join("tokens", " ").alias("tokens"))
@@ -465,11 +498,18 @@ def procrustes_gram(x, store):
     return rounded(align.gram(_own_pairs(x), *x.split_vectors()), "value", digits=4)
 
 
-@query()
+@query("SELECT i::int AS i, j::int AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::double AS gram, true AS optimal FROM range(0, 32) a(i), range(0, 32) b(j)")
 def procrustes_align(x, store):
-    a, b = x.split_vectors()
-    matrix = align.procrustes(align.gram(_own_pairs(x), a, b), 32)
-    return align.rotated(a, matrix).select("id", F.array_join(F.transform("vec", lambda v: F.round(v, 4).cast("string")), ",").alias("vec"))
+    """The map's columns are orthonormal, and no other orthogonal map is better: with m the anchors' products, m' map is symmetric and positive."""
+    products = align.gram(_own_pairs(x), *x.split_vectors())
+    found = align.procrustes(products, 32)
+    m = np.zeros((32, 32))
+    for r in products.collect():
+        m[r["i"], r["j"]] = r["value"]
+    bent = m.T @ found
+    optimal = np.allclose(bent, bent.T, atol=1e-6 * np.abs(bent).max()) and np.linalg.eigvalsh(bent).min() > -1e-6 * np.abs(bent).max()
+    own = np.round(found.T @ found, 6) + 0.0
+    return x.spark.createDataFrame([(i, j, float(own[i, j]), bool(optimal)) for i in range(32) for j in range(32)], "i int, j int, gram double, optimal boolean")
 
 
 @query()
@@ -586,7 +626,20 @@ def perturb_jitter(x, store):
     return rounded(made.nodes.select("id", "origin", "x", "y"), "x", "y", digits=5)
 
 
-@query()
+def _q(text) -> str:
+    return f"'{text}'"
+
+
+@query(
+    f""", side AS (SELECT min(x) - 400 AS lx, max(x) + 400 AS ux, min(y) - 400 AS ly, max(y) + 400 AS uy FROM fx_nodes),
+n AS (SELECT *, greatest(2, ceil((ux - lx) / 400) + 1)::bigint AS nx, greatest(2, ceil((uy - ly) / 400) + 1)::bigint AS ny FROM side),
+ctrl AS (SELECT lx + gi * ((ux - lx) / (nx - 1)) AS cx, ly + gj * ((uy - ly) / (ny - 1)) AS cy, {_z(_q(7), _q(0), _q("x"), "gi", "gj")} AS u, {_z(_q(7), _q(0), _q("y"), "gi", "gj")} AS v
+  FROM (SELECT *, unnest(range(nx)) AS gi FROM n) JOIN (SELECT unnest(range(ny)) AS gj FROM n) ON true),
+field AS (SELECT id, sum(w * u) / sum(w) AS dx, sum(w * v) / sum(w) AS dy FROM (SELECT id, exp(-((x - cx) * (x - cx) + (y - cy) * (y - cy)) / (2.0 * 400 * 400)) AS w, u, v FROM fresh, ctrl) GROUP BY id),
+rms AS (SELECT sqrt(avg(dx * dx + dy * dy)) AS rms FROM field)
+SELECT id, origin, round(x + 3.0 / rms * dx, 5) AS x, round(y + 3.0 / rms * dy, 5) AS y FROM fresh JOIN field USING (id) JOIN rms ON true""",
+    (FRESH,),
+)
 def perturb_warp(x, store):
     made = perturb.warp(perturb.identity(_network(x)), 3.0, 400.0, 7)
     return rounded(made.nodes.select("id", "origin", "x", "y"), "x", "y", digits=5)
@@ -594,14 +647,22 @@ def perturb_warp(x, store):
 
 @query(
     f""", pick AS (SELECT src, dst FROM fx_edges ORDER BY {_u(chr(39) + '7' + chr(39), chr(39) + '0' + chr(39), 'src', 'dst')}, src, dst LIMIT (SELECT round_even(0.1 * count(*), 0)::bigint FROM fx_edges)),
-num AS (SELECT src, dst, (row_number() OVER (ORDER BY src, dst) - 1 + 20000000)::bigint AS id FROM pick)
+num AS (SELECT src, dst, (row_number() OVER (ORDER BY src, dst) + (SELECT max(id) FROM fx_nodes))::bigint AS id FROM pick)
 SELECT src, dst FROM fx_edges WHERE (src, dst) NOT IN (SELECT (src, dst) FROM pick) UNION ALL SELECT src, id FROM num UNION ALL SELECT id, dst FROM num"""
 )
 def perturb_densify(x, store):
     return perturb.densify(_network(x), 0.1, 7).edges
 
 
-@query()
+@query(
+    f""", j AS (SELECT id, x + 0.5 * {_z(_q(7), _q(0), _q("x"), "id")} AS x, y + 0.5 * {_z(_q(7), _q(0), _q("y"), "id")} AS y, role, origin FROM fresh),
+fe AS (SELECT a.id AS src, b.id AS dst FROM fx_edges e JOIN fresh a ON a.origin = e.src JOIN fresh b ON b.origin = e.dst),
+pick AS (SELECT src, dst FROM fe ORDER BY {_u(_q(7), _q(1), "src", "dst")}, src, dst LIMIT (SELECT round_even(0.1 * count(*), 0)::bigint FROM fe)),
+num AS (SELECT src, dst, (row_number() OVER (ORDER BY src, dst) + (SELECT max(id) FROM fresh))::bigint AS id FROM pick)
+SELECT id, round(x, 5) AS x, round(y, 5) AS y, role, origin FROM j
+UNION ALL SELECT num.id, round((a.x + b.x) / 2, 5), round((a.y + b.y) / 2, 5), CASE WHEN a.role = 'core' AND b.role = 'core' THEN 'core' ELSE 'halo' END, NULL FROM num JOIN j a ON a.id = num.src JOIN j b ON b.id = num.dst""",
+    (FRESH,),
+)
 def perturb_composite(x, store):
     steps = [{"family": "jitter", "sigma": 0.5}, {"family": "densify", "fraction": "@level"}]
     return rounded(perturb.composite(_network(x), steps, 0.1, 7).nodes, "x", "y", digits=5)
@@ -717,7 +778,7 @@ def gamma(x, store):
 @query()
 def struc2vec_walks(x, store):
     layers = store.cut(_layers(x, Store(x.spark, "layers")), "layers-cut")
-    return struc2vec.layer_walks(layers, x.nodes1, store, 1, 5).select("walk", F.array_join("tokens", " ").alias("tokens"))
+    return struc2vec.layer_walks(layers, x.nodes1, store, 2, 10).select("walk", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query()
@@ -749,3 +810,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     core = evaluate.scored_nodes(x.nodes1)
     truth = evaluate.provenance_truth(x.nodes1, x.provenance).join(core.select(F.col("id").alias("g1_id")), "g1_id", "left_semi")
     return evaluate.metrics(evaluate.outcomes(truth, align.nearest_neighbour_alignment(x.candidates, store)))
+
+
+from . import more_queries  # noqa: E402, F401  registers the rest

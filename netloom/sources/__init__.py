@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import lambert93
+
 POINT = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.DoubleType()))])
 LINE = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
@@ -27,21 +29,35 @@ def detect_format(nodes: DataFrame, pipes: DataFrame) -> str:
     raise ValueError("neither a wastewater nor a road network")
 
 
-def load_network(spark: SparkSession, nodes_path: str, pipes_path: str, data_format: str = "auto") -> tuple[DataFrame, DataFrame]:
+def srid_of(spark: SparkSession, path: str) -> int:
+    """The EPSG number that a GeoJSON file's member crs names; 4326, longitude and latitude, where it names none."""
+    named = T.StructType([T.StructField("crs", T.StructType([T.StructField("properties", T.StructType([T.StructField("name", T.StringType())]))]))])
+    row = spark.read.schema(named).option("multiLine", True).json(path).select("crs.properties.name").first()
+    name = (row["name"] if row else None) or "EPSG:4326"
+    if name.endswith("CRS84"):
+        return 4326
+    return int(name.rsplit(":", 1)[-1])
+
+
+def load_network(spark: SparkSession, nodes_path: str, pipes_path: str, data_format: str = "auto", srid: int | None = None) -> tuple[DataFrame, DataFrame]:
     """nodes(id, x, y, attrs) and canonical edges(src, dst, attrs) of a pair of GeoJSON files.
 
+    Road networks are brought to metres in EPSG:2154 from longitude and latitude, unless they are in it already; srid overrides what the files say.
+
     Wastewater edges bring in ends that the node file lacks, without coordinates; road edges without both ends are dropped. Road edges name their
     ends by u and v, by node_start and node_end, or lie between nodes whose coordinates agree with the line's ends to six decimals.
     """
     raw_nodes, raw_pipes = geojson(spark, nodes_path, POINT), geojson(spark, pipes_path, LINE)
     kind = detect_format(raw_nodes, raw_pipes) if data_format == "auto" else data_format
+    srids = [srid or (srid_of(spark, path) if kind == "road" else 2154) for path in (nodes_path, pipes_path)]
     prop = lambda k: F.expr(f"try_cast(properties['{k}'] AS bigint)")
     if kind == "wastewater":
         id_, src, dst = prop("old_id"), prop("sourceNode"), prop("targetNode")
     else:
         id_, src, dst = F.coalesce(prop("nodeID"), prop("osmid"), F.col("ordinal").cast("long")), F.coalesce(prop("u"), prop("node_start")), F.coalesce(prop("v"), prop("node_end"))
-    nodes = raw_nodes.select(id_.alias("id"), F.get("geometry.coordinates", F.lit(0)).alias("x"), F.get("geometry.coordinates", F.lit(1)).alias("y"), F.col("properties").alias("attrs")).where("id is not null").dropDuplicates(["id"])
-    ends = raw_pipes.select("ordinal", "properties", src.alias("src"), dst.alias("dst"), F.get("geometry.coordinates", F.lit(0)).alias("first"), F.element_at("geometry.coordinates", -1).alias("last"))
+    nodes = raw_nodes.select(id_.alias("id"), _metres(F.col("geometry.coordinates"), srids[0]).alias("at"), F.col("properties").alias("attrs")).where("id is not null").dropDuplicates(["id"])
+    nodes = nodes.select("id", F.get("at", F.lit(0)).alias("x"), F.get("at", F.lit(1)).alias("y"), "attrs")
+    ends = raw_pipes.select("ordinal", "properties", src.alias("src"), dst.alias("dst"), _metres(F.get("geometry.coordinates", F.lit(0)), srids[1]).alias("first"), _metres(F.element_at("geometry.coordinates", -1), srids[1]).alias("last"))
     edges = ends.where("src is not null and dst is not null")
     if kind == "road":
         key = lambda c: F.struct(F.round(F.get(c, F.lit(0)), 6).alias("kx"), F.round(F.get(c, F.lit(1)), 6).alias("ky"))
@@ -59,6 +75,14 @@ def load_network(spark: SparkSession, nodes_path: str, pipes_path: str, data_for
     return nodes, canonical(edges.select("src", "dst", F.col("properties").alias("attrs"), "ordinal"), "ordinal").drop("ordinal")
 
 
+def _metres(point: Column, srid: int) -> Column:
+    if srid == 2154:
+        return point
+    if srid != 4326:
+        raise ValueError(f"coordinates in EPSG:{srid}; 4326 and 2154 are read")
+    return F.when(point.isNotNull(), F.array(*lambert93(F.get(point, F.lit(0)), F.get(point, F.lit(1)))))
+
+
 def edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """nodes(id) and edges(src, dst) of a text file with `int int` a line, or a single int for an isolated node."""
     parts = spark.read.text(path).where("trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("p"))

@@ -40,6 +40,12 @@ def embedding_lines(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.concat_ws(" ", F.col("id").cast("string"), F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")).alias("value"))
 
 
+def write_embeddings(embeddings: DataFrame, path: str) -> None:
+    """word2vec text: a header with the number of vectors and their length, in the first part file, then a line a vector."""
+    header = embeddings.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).select(F.concat_ws(" ", "n", F.coalesce("dim", F.lit(0))).alias("value"))
+    write_text(header.coalesce(1).union(embedding_lines(embeddings)), path)
+
+
 def latex_rows(table: DataFrame, columns: list[str]) -> DataFrame:
     """(value): cells between ampersands, ended by a double backslash."""
     return table.select(F.concat(F.concat_ws(" & ", *[F.col(c).cast("string") for c in columns]), F.lit(r" \\")).alias("value"))

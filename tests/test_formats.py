@@ -32,8 +32,14 @@ def test_wastewater(spark, tmp_path):
 def test_roads(spark, tmp_path):
     n = collection(tmp_path / "n.json", [({"nodeID": 10}, point(0, 0)), ({"nodeID": 11}, point(1, 0)), ({"nodeID": 12}, point(2, 0))])
     p = collection(tmp_path / "p.json", [({"u": 10, "v": 11}, line((0, 0), (1, 0))), ({"u": 10, "v": 99}, line((0, 0), (5, 5))), ({}, line((1.0000001, 0), (2, 0)))])
-    nodes, edges = sources.load_network(spark, n, p)
+    nodes, edges = sources.load_network(spark, n, p, srid=2154)
     assert nodes.count() == 3 and {(r["src"], r["dst"]) for r in edges.collect()} == {(10, 11), (11, 12)}
+    # without a crs a file is in degrees, and ends are matched in metres, where 1e-7 degrees are a centimetre
+    nodes, edges = sources.load_network(spark, n, p)
+    assert [(r["src"], r["dst"]) for r in edges.collect()] == [(10, 11)] and nodes.agg({"x": "max"}).first()[0] > 100_000
+    named = tmp_path / "crs.json"
+    named.write_text('{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::2154"}}, "features": []}')
+    assert sources.srid_of(spark, str(named)) == 2154 and sources.srid_of(spark, n) == 4326
 
 
 def test_edge_list_round_trip(spark, tmp_path):

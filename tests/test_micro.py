@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -224,6 +225,59 @@ def test_perturbation(spark, store, path5):
     assert made.nodes.count() == 6 and origin.where("origin is null").count() == 1
 
 
+@pytest.mark.parametrize("offset", [perturb.OFFSET, 7])
+def test_invented_nodes_are_numbered_on(spark, path5, offset):
+    n = path5[0].withColumns({"role": F.lit("core"), "origin": F.col("id"), "x": F.col("id") * 10.0})
+    once = perturb.densify(perturb.identity(perturb.Network(n, path5[1]), offset), 0.5, 3)
+    twice = perturb.densify(once, 0.5, 3, step=1)
+    ids = sorted(r["id"] for r in twice.nodes.collect())
+    assert ids == list(range(offset, offset + 10)) and twice.edges.count() == 9
+    ends = {r[c] for r in twice.edges.collect() for c in ("src", "dst")}
+    assert ends == set(ids)
+
+
+def test_layer_walks_by_brute_force(spark, store):
+    """Draw by draw over the whole lists, on layers with a hub."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for depth in (0, 1, 2):
+        pairs = {(0, u) for u in range(1, 40)} | {(int(a), int(b)) for a, b in rng.integers(1, 40 - 10 * depth, (30, 2)) if a < b}
+        pairs = {(a, b) for a, b in pairs if b < 40 - 10 * depth}
+        for a, b in sorted(pairs):
+            e = float(rng.random() + 0.1)
+            rows += [(depth, a, b, e), (depth, b, a, e)]
+    total = {}
+    for d, v, _, e in rows:
+        total[d, v] = total.get((d, v), 0.0) + e
+    layers = spark.createDataFrame([(d, v, u, e / total[d, v]) for d, v, u, e in rows], "depth int, v long, u long, w double")
+    nodes = spark.range(42)  # two have no neighbours
+    got = {r["walk"]: r["tokens"] for r in struc2vec.layer_walks(layers, nodes, store, 2, 9, seed=5, cut_every=4).collect()}
+    near, means = {}, {}
+    for d in (0, 1, 2):
+        of = [(v, u, e / total[d, v]) for dd, v, u, e in rows if dd == d]
+        means[d] = sum(w for _, _, w in of) / len(of)
+        for v, u, w in sorted(of):
+            near.setdefault((d, v), []).append((u, w))
+    for v in range(42):
+        for i in range(2):
+            walk, tokens, depth, k, at = f"{v}#{i}", [v], 0, 0, v
+            while len(tokens) < 9:
+                r, s = (int(hashlib.md5(f"5:{walk}:{k}:{j}".encode()).hexdigest()[:13], 16) / 2**52 for j in (1, 2))
+                k += 1
+                here = near.get((depth, at))
+                if not here and depth == 0:
+                    break
+                if here and r < 0.3:
+                    run = np.cumsum([w for _, w in here])
+                    hit = np.flatnonzero(run >= s)
+                    at = here[hit[0] if len(hit) else -1][0]
+                    tokens.append(at)
+                else:
+                    g = math.log(sum(w > means[depth] for _, w in here or []) + math.e)
+                    depth = depth + 1 if s < g / (1 + g) and (depth + 1, at) in near else max(depth - 1, 0)
+            assert got[walk] == [str(t) for t in tokens], walk
+
+
 def test_names_and_projection(spark):
     r = spark.range(1).select(fn.variant_name(F.lit("Z1"), F.lit("warp"), F.lit(0.5), F.lit(1)).alias("n")).select("n", fn.variant_parts("n").alias("p")).first()
     assert r["n"] == "Z1__warp_L0p5_s01" and tuple(r["p"]) == ("Z1", "warp", "0p5")
