@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..store import Store, doc_key
+from ..store import Store, id_key
 from .textbytes import BASE, BASE_2, inverse_powers, mix, powers, slabs
 
 LENGTH, K = 200, 48
@@ -31,6 +31,14 @@ TASK_BYTES = 2 << 20
 ARRAY_SYMBOLS = 1 << 18
 
 
+#: A text's key: its doc_id and a hash of it, so that rows that repeat a doc_id with another text have decisions of their own.
+_KEY = "struct<doc:long,th:long>"
+
+
+def _key() -> Column:
+    return F.struct(id_key().alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("th")).alias("id")
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Positions of the suffixes of text in order. The last symbol must be smaller than all others and occur once."""
     n = len(text)
@@ -320,10 +328,10 @@ def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, k: int =
     """docs(doc_id, text, ...) to (id, spans): for each document the byte ranges [s, e) that repeated strings cover; ranges may overlap.
 
     A string of length bytes counts wherever it starts twice, in one document or in two; rows that repeat are documents of their own, whose spans are
-    listed once for their doc_id. Null text is empty; rows without an id go by a hash of their text. Other columns are ignored.
+    listed once for their id and text, as are those of rows without an id by their text. Null text is empty. Other columns are ignored.
     """
-    texts = docs.select(doc_key().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    runs = store.cut(texts.mapInArrow(_list_runs(length, k), "id long, start long, shape int, owner long, digest long"), "runs")
+    texts = docs.select(_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    runs = store.cut(texts.mapInArrow(_list_runs(length, k), f"id {_KEY}, start long, shape int, owner long, digest long"), "runs")
     often = store.cut(runs.groupBy("owner").agg(F.count("*").alias("m")).where("m > 1").select("owner"), "often")
     shared = store.cut(runs.join(often, "owner", "left_semi"), "shared")
     store.free("runs", "often")
@@ -335,17 +343,17 @@ def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, k: int =
     open_ = store.cut(kinds.join(mixed, "owner").select("owner", "at.*", "kinds"), "open")
     store.free("kinds")
     wanted = store.cut(open_.groupBy("id").agg(F.collect_list(F.struct("start", "shape", "owner")).alias("wanted")), "wanted")
-    fetched = texts.join(wanted, "id").select("id", "t", "wanted").mapInArrow(_fetch_runs(length), "id long, start long, shape int, owner long, data binary")
+    fetched = texts.join(wanted, "id").select("id", "t", "wanted").mapInArrow(_fetch_runs(length), f"id {_KEY}, start long, shape int, owner long, data binary")
     hot = open_.where(F.col("kinds") > hot_runs).select("owner").distinct()
     fetched = store.cut(fetched, "fetched")  # a repeated row brings its runs twice, all of which are repeated as a whole already
     any_hot = hot.limit(1).count() > 0
     hot = store.cut(hot, "hot") if any_hot else None
     cold = fetched.join(hot, "owner", "left_anti") if any_hot else fetched
     size = cold.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    parts = cold.repartition(max(1, -(-size // task_bytes)), "owner").mapInArrow(_sort_runs(length, k), "id long, s long, e long")
+    parts = cold.repartition(max(1, -(-size // task_bytes)), "owner").mapInArrow(_sort_runs(length, k), f"id {_KEY}, s long, e long")
     spans = whole.unionByName(store.cut(parts, "sorted"))
     if any_hot:
-        windows = store.cut(fetched.join(hot, "owner", "left_semi").select("id", "start", "shape", "owner", "data").mapInArrow(_digest_windows(length), "id long, s long, d1 long, d2 long"), "windows")
+        windows = store.cut(fetched.join(hot, "owner", "left_semi").select("id", "start", "shape", "owner", "data").mapInArrow(_digest_windows(length), f"id {_KEY}, s long, d1 long, d2 long"), "windows")
         again = windows.groupBy("d1", "d2").agg(F.count("*").alias("m")).where("m > 1").select("d1", "d2")
         covered = windows.join(again, ["d1", "d2"], "left_semi").select("id", "s", (F.col("s") + length).alias("e"))
         spans = spans.unionByName(store.cut(covered, "covered"))
@@ -388,6 +396,6 @@ def without_repeated_strings(docs: DataFrame, store: Store, **how) -> DataFrame:
     Strings are judged on the input, not on what is left. Bytes may be cut within a character, so kept is binary.
     """
     spans = store.cut(repeated_spans(docs, store, **how), "spans")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     joined = rows.join(spans, "id", "left").select("doc_id", "t", "spans")
     return joined.mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -14,10 +14,13 @@ AWKWARD = [
     (7, "x" * 5000 + " " + "y z " * 3000, "de", "c", 1, "z", 9),
 ]
 
+CLASHING = "row t th key score lines gone _id _th s h h1 at block members fill done a b keys words n_words copies weight passes rest predicted size".split()
+
 
 @pytest.fixture
 def awkward(spark):
-    return spark.createDataFrame(AWKWARD, "doc_id long, text string, lang string, source string, n_chars long, id string, n int")
+    rows = spark.createDataFrame(AWKWARD, "doc_id long, text string, lang string, source string, n_chars long, id string, n int")
+    return rows.withColumns({c: F.lit(1) for c in CLASHING})
 
 
 @pytest.fixture

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
-from test_text_operators import SPACE
+from test_text_operators import SPACE, expected_lines
 
 import corpus_pipeline
 from netloom.llm import embed, minhash, mixing, queries, toxicity, warc
@@ -186,15 +186,67 @@ def test_warc_normaliser_reads_pieces_and_rejects_broken_streams():
         broken.close()
 
 
-def test_mixing_weights():
-    tokens = [900, 50, 40, 10]
-    t = mixing.exponent(tokens, target_entropy=0.9)
-    assert abs(mixing.entropy(mixing.weights_at(tokens, t)) - 0.9 * math.log(4)) < 1e-9
-    t = mixing.exponent(tokens, repetition_limit=2.0)
-    assert abs(max(w * 1000 / n for w, n in zip(mixing.weights_at(tokens, t), tokens, strict=True)) - 2.0) < 1e-6
-    assert mixing.exponent([5], target_entropy=0.9) == 1.0 and mixing.exponent([5, 5], target_entropy=0.9) == 1.0
+def entropy(weights):
+    return -sum(w * math.log(w) for w in weights if w > 0)
+
+
+def weights_at(tokens, t):
+    raised = [(x / sum(tokens)) ** t if x else 0.0 for x in tokens]
+    return [x / sum(raised) for x in raised]
+
+
+def bisected(tokens, target_entropy=None, repetition_limit=None, sharpen=False):
+    some = [x for x in tokens if x]
+    if target_entropy is not None:
+        over = lambda t: entropy(weights_at(some, t)) < target_entropy * math.log(len(some))
+    else:
+        over = lambda t: max(w * sum(some) / x for w, x in zip(weights_at(some, t), some, strict=True)) <= repetition_limit
+    low, high = 0.0, 64.0 if sharpen else 1.0
+    if not over(high):
+        return high
+    for _ in range(60):
+        low, high = (low, (low + high) / 2) if over((low + high) / 2) else ((low + high) / 2, high)
+    return round(high, 9)
+
+
+def test_warc_cut_short(spark, store, tmp_path):
+    """A stream that ends early raises, even between records, as does one with another number of records than was written."""
+    records = [warc.record({"warc-TYPE": "response", "WARC-Page-ID": str(i)}, b"x" * 50) for i in range(3)]
+    engine = zlib.compressobj(6, zlib.DEFLATED, 31)
+    early = engine.compress(records[0]) + engine.flush(zlib.Z_FULL_FLUSH)
+    with pytest.raises(ValueError, match="ends early"):
+        list(warc.inflate(iter([early])))
+    path = f"{tmp_path}/a.warc.gz"
+    with open(path, "wb") as out:
+        out.write(zlib.compress(b"".join(records), wbits=31))
+    archives = lambda n: spark.createDataFrame([(path, n)], "path string, records long")
+    assert warc.normalise(archives(3), f"file://{tmp_path}/out").collect()[0]["records"] == 3
+    assert warc.normalise(archives(3).select("path"), f"file://{tmp_path}/out").collect()[0]["records"] == 3
+    with pytest.raises(Exception, match="records instead of 4"):
+        warc.normalise(archives(4), f"file://{tmp_path}/out").collect()
+
+
+def test_warc_records_are_whole(spark, store):
+    """Dates, HTTP heads, and what a revisit refers to."""
+    pages = spark.createDataFrame([(1, "http://a", "x" * 200), (2, "http://b", "x" * 200)], "page_id long, url string, html string").coalesce(1)
+    (path,) = {r["archive"] for r in warc.archive_pages(pages, store, date="2020-01-02T03:04:05Z").collect()}
+    with fs.LocalFileSystem().open_input_stream(path, compression=None) as stream:
+        found = [x for piece in warc.inflate(iter([stream.read()])) for x in warc.Parser().feed(piece)]
+    by = {head["warc-page-id"]: (head, block) for head, block, _ in found}
+    assert all(head["warc-date"] == "2020-01-02T03:04:05Z" and head["content-type"] == "application/http; msgtype=response" for head, _ in by.values())
+    assert by["1"][1] == warc.http_head(200) + b"x" * 200 and by["2"][1] == warc.http_head(200)
+    assert by["2"][0]["warc-refers-to-target-uri"] == "http://a" and by["2"][0]["warc-refers-to-date"] == "2020-01-02T03:04:05Z"
+
+
+def test_mixing_exponents(spark):
+    sources = lambda tokens: spark.createDataFrame([(x,) for x in tokens], "tokens long")
+    tokens = [900, 50, 40, 10, 0]
+    for how in ({"target_entropy": 0.9}, {"repetition_limit": 2.0}, {"target_entropy": 0.1, "sharpen": True}, {"target_entropy": 0.3}):
+        assert abs(mixing.exponent(sources(tokens), **how) - bisected(tokens, **how)) < 2e-9, how
+    assert abs(entropy(weights_at(tokens[:4], mixing.exponent(sources(tokens), target_entropy=0.9))) - 0.9 * math.log(4)) < 1e-8
+    assert mixing.exponent(sources([5]), target_entropy=0.9) == 1.0 and mixing.exponent(sources([5, 5]), target_entropy=0.9) == 1.0
     with pytest.raises(ValueError):
-        mixing.exponent(tokens)
+        mixing.exponent(sources(tokens))
 
 
 def h(*parts):
@@ -208,7 +260,7 @@ def expected_copies(rows, seed=17, block_rows=mixing.BLOCK_ROWS, cover=False, **
         by.setdefault("null" if s is None else "=" + s, []).append(i)
     names = sorted(by)
     tokens = [sum(words[i] for i in by[s]) for s in names]
-    weights = [round(w, 12) for w in mixing.weights_at(tokens, mixing.exponent(tokens, **how))]
+    weights = [round(w, 12) for w in weights_at(tokens, bisected(tokens, **how))]
     budget = max(math.ceil(n / w) for n, w in zip(tokens, weights, strict=True) if w) if cover else sum(tokens)
     out = {}
     for s, n, w in zip(names, tokens, weights, strict=True):
@@ -221,8 +273,6 @@ def expected_copies(rows, seed=17, block_rows=mixing.BLOCK_ROWS, cover=False, **
             blocks.setdefault(h(seed, i) % count, []).append(i)
         for b in sorted(blocks, key=lambda b: (h(seed, s, b), b)):
             total = sum(words[i] for i in blocks[b])
-            for i in sorted(blocks[b], key=lambda i: h(seed, i)):
-                pass
             if rest <= 0:
                 taken = set()
             elif total <= rest:
@@ -240,7 +290,7 @@ def expected_copies(rows, seed=17, block_rows=mixing.BLOCK_ROWS, cover=False, **
     return out
 
 
-@pytest.mark.parametrize("how", [{"target_entropy": 0.99}, {"repetition_limit": 1.5}, {"target_entropy": 0.995, "cover": True}])
+@pytest.mark.parametrize("how", [{"target_entropy": 0.99}, {"repetition_limit": 1.5}, {"target_entropy": 0.995, "cover": True}, {"target_entropy": 0.7, "sharpen": True}])
 def test_mixing_copies(spark, store, documents, how):
     rows = [tuple(r) for r in documents.select("doc_id", "text", "source").collect()]
     got = {r["doc_id"]: r["copies"] for r in mixing.plan(documents, store, block_rows=8, **how).select("row.doc_id", "copies").collect()}
@@ -257,6 +307,16 @@ def test_mixing_awkward(spark, store, awkward, empty):
     assert mixing.mixed(empty, Store(spark, "t"), target_entropy=0.9).count() == 0
 
 
+def test_mixing_query_mixes(spark, sf_dir):
+    """Copies differ, and the words that each source is read for follow its weight as closely as one block's last document allows."""
+    rows = queries.op8_temperature_mixing(spark, sf_dir).collect()
+    assert len({r["copies"] for r in rows}) > 1
+    every, longest = sum(r["n_words"] for r in rows), max(r["n_words"] for r in rows)
+    for s in {r["source"] for r in rows}:
+        of = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["n_words"] * r["copies"] for r in of) - of[0]["weight"] * every) <= longest
+
+
 def test_mixing_uses_no_python(spark, documents):
     plan = mixing.plan(documents, Store(spark, "t"), target_entropy=0.9)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
@@ -324,14 +384,41 @@ def test_risk_is_never_negative_and_learns():
 
 
 def test_pipeline(spark, sf_dir, documents, store):
-    columns = documents.columns
-    docs, kept = documents, [documents.count()]
+    """Every stage against brute force on what the stage before it kept."""
+    columns, labels = documents.columns, spark.read.parquet(f"{sf_dir}/labels.parquet")
+    kept, docs = [], documents
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = [tuple(r) for r in docs.select("doc_id", F.coalesce("text", F.lit("")), "source").collect()]
+        if i == 0:
+            good = {r["doc_id"] for r in toxicity.toxicity(docs, labels, Store(spark, "t")).where("predicted = 0").collect()}
+            expected = [(d, t) for d, t, _ in before if d in good]
+        elif i == 1:
+            gone = expected_lines([(d, t) for d, t, _ in before])
+            left = [(d, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(d, ())), d in gone) for d, t, _ in before]
+            expected = [(d, t) for d, t, lost in left if not lost or SPACE.sub("", t)]
+        elif i == 2:
+            groups = expected_groups({d: t for d, t, _ in before}, 5, 80)
+            expected = [(d, t) for d, t, _ in before if groups[d][2]]
+        else:
+            copies = expected_copies([(d, t, s) for d, t, s in before], target_entropy=0.9, cover=True)
+            expected = [(d, t) for d, t, _ in before for _ in range(copies[d])]
         docs = store.cut(stage(spark, docs, sf_dir), f"p{i}")
         assert docs.columns == columns
-        kept.append(docs.select("doc_id").distinct().count())
-    assert kept == sorted(kept, reverse=True) and kept[-1] == kept[-2]
+        rows = [(r[0], r[1] or "") for r in docs.select("doc_id", "text").collect()]
+        assert sorted(rows) == sorted(expected), i
+        kept.append(len(rows))
+    assert kept[0] >= kept[1] >= kept[2] <= kept[3]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
-    total = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("o"), F.count("*").alias("c"))
-    assert total.where("n > 1024 or o <> c").count() == 0
+    rows = [(r["sequence_id"], r["offset"], r["length"]) for r in packed.collect()]
+    ends = {}
+    for q, offset, n in sorted(rows):
+        assert offset == ends.get(q, 0) and 0 < n <= 1024
+        ends[q] = offset + n
+        assert ends[q] <= 1024
     assert packed.where("piece = 0").count() == docs.count()
+
+
+def test_pipeline_of_nothing(spark, sf_dir, documents):
+    """Each stage of an empty table is empty."""
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, documents.limit(0), sf_dir).count() == 0, name
