@@ -210,7 +210,7 @@ def expected_lines(rows, least=lines.LEAST_WORDS, fuzzy=lines.FUZZY_WORDS):
     return gone
 
 
-HOW = [{}, {"crowd": 1, "block": 3}]
+HOW = [{}, {"crowd": 1}]
 
 
 @pytest.mark.parametrize("how", HOW)
