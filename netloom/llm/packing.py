@@ -143,7 +143,7 @@ def pack(pieces: DataFrame, store: Store, capacity: int = 1024, task_items: int
     """pieces(length, ...) to the same rows with sequence_id and offset; each length is from 1 to capacity.
 
     Places in a sequence have no gaps from 0. Bins with at most capacity/128 places left are final after the round that made them. Rounds go on
-    until the rest fits one task, or until a round over many tasks hardly joins any more bins. Other columns travel along unread; an empty
+    until the rest fits one task, or until a round over many tasks joins no bins any more. Other columns travel along unread; an empty
     table gives an empty result; repeated rows are packed each.
     """
     names = [c for c in pieces.columns if c != "offset"]
@@ -178,5 +178,5 @@ def pack(pieces: DataFrame, store: Store, capacity: int = 1024, task_items: int
 
 
 def last_round(k: int, left: int, before: int | None, task_items: int) -> bool:
-    """Whether more rounds over many tasks would only shuffle bins that do not fit together."""
-    return left > task_items and before is not None and left > 0.95 * before
+    """Whether a round over many tasks, which deals bins anew, joined none of them any more."""
+    return left > task_items and before is not None and left >= before
