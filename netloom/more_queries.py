@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from . import sources
-from .operators import align, compound, diagnostics, embedding, evaluate, graph, spatial, structural, tune, zone
+from .operators import align, compound, diagnostics, embedding, evaluate, graph, perturb, spatial, struc2vec, structural, tune, zone
 from .plans import alignment, experiments
 from .plans.fixture import CANDIDATES, DEGREES, NEAREST, SYMMETRIC
 from .queries import BACK, COMPOUND, HALO, ONE, SCORED, SCORES, SIMS, SWEEP, WALKS, ZONE, _network, _sims, _sweep, _u, _walks, query, rounded
@@ -311,3 +311,60 @@ def real_pairs(x, store):
     networks = {"a": (x.nodes1, x.edges1), "b": (x.nodes2, x.edges2)}
     rows, _ = experiments.real_pairs(networks, experiments.network_pairs(["a", "b"]), {"nearest": alignment.Settings(method="nearest")}, store, 2.0)
     return rows.select("pair", "method", "n_eval")
+
+
+# ---------------------------------------------------------------- small operators
+
+
+@query("SELECT a.n_nationkey::bigint AS v, b.n_nationkey::bigint AS u FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+def triangular_pairs(x, store):
+    return struc2vec.triangular(x.spark.read.parquet(f"{x.sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id")))
+
+
+@query("SELECT a.n_nationkey::bigint AS src, b.n_nationkey::bigint AS dst FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+def clique_edges(x, store):
+    return graph.clique(x.spark.read.parquet(f"{x.sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id")))
+
+
+@query(
+    "SELECT src, dst, round((greatest(a.degree, b.degree) + 0.5) / (least(a.degree, b.degree) + 0.5) - 1, 6) AS cost, round(((greatest(a.degree, b.degree) + 0.5) / (least(a.degree, b.degree) + 0.5) - 1) * least(src % 3, dst % 5), 6) AS cost_min, round(((greatest(a.degree, b.degree) + 0.5) / (least(a.degree, b.degree) + 0.5) - 1) * greatest(src % 3, dst % 5), 6) AS cost_max FROM fx_edges JOIN deg a ON a.id = src JOIN deg b ON b.id = dst",
+    (DEGREES,),
+)
+def degree_costs(x, store):
+    deg = graph.degrees(x.nodes1, x.edges1)
+    a, b = deg.select(F.col("id").alias("src"), F.col("degree").alias("da")), deg.select(F.col("id").alias("dst"), F.col("degree").alias("db"))
+    both = x.edges1.join(a, "src").join(b, "dst").withColumns({"fa": F.col("src") % 3, "fb": F.col("dst") % 5})
+    cost = struc2vec.cost_column
+    found = both.select("src", "dst", cost("da", "db").alias("cost"), cost("da", "db", "fa", "fb", least=True).alias("cost_min"), cost("da", "db", "fa", "fb").alias("cost_max"))
+    return rounded(found, "cost", "cost_min", "cost_max")
+
+
+@query(", m AS (SELECT sqrt((m.x - n.x) * (m.x - n.x) + (m.y - n.y) * (m.y - n.y)) AS d FROM fx_nodes2 m JOIN fx_nodes n ON n.id = m.origin) SELECT round(count(*) FILTER (d <= 5) / count(*), 6) AS coverage FROM m")
+def radius_coverage(x, store):
+    made = perturb.Network(x.nodes2.withColumn("role", F.lit("core")), x.edges2)
+    return rounded(spatial.coverage(perturb.provenance(made, x.nodes1), 5.0), "coverage")
+
+
+@query(
+    """, t AS (SELECT variant, method, param, sum("TP") AS tp, sum("FP") AS fp, sum("FN") AS fn FROM s GROUP BY ALL), r AS (SELECT *, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM t)
+SELECT variant, method, param, f1 FROM r QUALIFY row_number() OVER (PARTITION BY variant, method ORDER BY f1 DESC, param) = 1""",
+    (_SWEPT,),
+)
+def best_on_all(x, store):
+    return tune.best_on_all(_sweep(x))
+
+
+@query("SELECT count(*) FILTER (abs(p) < 1e-3) AS clear, count(*) AS n FROM (SELECT 0.0 AS p FROM range(0, 2))")
+def correlation_p_values(x, store):
+    """The p-values of distance against similarity's own shift: of a perfect and of an almost perfect correlation."""
+    r = diagnostics.correlations(x.candidates.select("distance", (F.col("distance") * 2).alias("similarity"))).first()
+    n = x.candidates.count()
+    rows = [(diagnostics.p_value(r["pearson"], n),), (diagnostics.p_value(0.99, n),)]
+    return x.spark.createDataFrame(rows, "p double").agg(F.count_if(F.abs("p") < 1e-3).alias("clear"), F.count("*").alias("n"))
+
+
+@query("SELECT src, dst FROM fx_edges WHERE src <> dst UNION SELECT dst, src FROM fx_edges WHERE src <> dst")
+def read_adjacency_list_checked(x, store):
+    lines = x.edges1.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("to")).select(F.concat_ws(" ", F.col("src").cast("string"), F.transform("to", lambda d: d.cast("string"))).alias("value"))
+    sinks.write_text(lines, _at(store, "adjacency"))
+    return sources.checked_adjacency_list(x.spark, _at(store, "adjacency"))[1]

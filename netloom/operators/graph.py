@@ -33,6 +33,25 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
+def self_loops(edges: DataFrame) -> DataFrame:
+    return edges.where("src = dst")
+
+
+def consistent(edges: DataFrame) -> bool:
+    """Whether every edge of a list in both directions has its counterpart."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return not edges.select("src", "dst").join(back, ["src", "dst"], "left_anti").limit(1).count()
+
+
+def has_edge(edges: DataFrame, a: int, b: int) -> bool:
+    return bool(edges.where((F.least("src", "dst") == min(a, b)) & (F.greatest("src", "dst") == max(a, b))).limit(1).count())
+
+
+def clique(nodes: DataFrame) -> DataFrame:
+    """edges(src, dst) between all nodes(id)."""
+    return nodes.select(F.col("id").alias("src")).join(nodes.select(F.col("id").alias("dst")), F.col("src") < F.col("dst"))
+
+
 def degree_distribution(deg: DataFrame) -> DataFrame:
     """Shares in percent of degree 1, 2, 3 and 4 or more, mean degree, and the entropy of the degrees in bits."""
     per = deg.groupBy("degree").agg(F.count("*").alias("c"))

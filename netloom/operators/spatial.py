@@ -70,3 +70,8 @@ def coverage_radius(displacement: DataFrame, base: float = 20.0, coverage: float
     q = F.percentile("displacement", F.lit(coverage))
     stats = displacement.agg(F.avg("displacement").alias("mean"), F.percentile("displacement", F.lit(0.5)).alias("median"), q.alias("q"), F.max("displacement").alias("max"))
     return stats.withColumn("radius", F.greatest(F.lit(float(base)), 5.0 * F.ceil(F.col("q") / 5.0)))
+
+
+def coverage(displacement: DataFrame, radius: float) -> DataFrame:
+    """The share of displacements within the radius; those that are null are left out."""
+    return displacement.where("displacement is not null").agg((F.count_if(F.col("displacement") <= radius) / F.count("*")).alias("coverage"))

@@ -31,6 +31,17 @@ def cost(a: float, b: float) -> float:
     return (max(a, b) + 0.5) / (min(a, b) + 0.5) - 1
 
 
+def cost_column(a: str, b: str, fa: str | None = None, fb: str | None = None, least: bool = False):
+    """cost of two degrees as a column; of compact entries times the larger frequency, or with least the smaller."""
+    out = (F.greatest(a, b) + 0.5) / (F.least(a, b) + 0.5) - 1
+    return out if fa is None else out * (F.least(fa, fb) if least else F.greatest(fa, fb))
+
+
+def triangular(nodes: DataFrame) -> DataFrame:
+    """(v, u) with v < u: all pairs of nodes, for networks that are small enough to do without candidates."""
+    return nodes.select(F.col("id").alias("v")).join(nodes.select(F.col("id").alias("u")), F.col("v") < F.col("u"))
+
+
 def candidates(degree: DataFrame, store: Store, count: int | None = None) -> DataFrame:
     """degree(id, degree) to (v, u): for each node the floor(2 log2 n) + 1 others of nearest degree, ties to the higher degree, then to the smaller id.
 

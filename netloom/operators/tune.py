@@ -33,6 +33,14 @@ def cross_fit(rows: DataFrame, param_order: str = "text") -> DataFrame:
     return out.withColumns({"precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(f, 6)})
 
 
+def best_on_all(rows: DataFrame, param_order: str = "number") -> DataFrame:
+    """(variant, method, param, f1): the parameter whose counts over both folds have the largest F1, the first in order among equals."""
+    summed = rows.where("fold in ('A', 'B')").groupBy("variant", "method", "param").agg(*[F.sum(c).alias(c) for c in ("TP", "FP", "FN")])
+    _, _, f = precision_recall_f1(F.col("TP"), F.col("FP"), F.col("FN"))
+    w = Window.partitionBy("variant", "method").orderBy(F.desc("f1"), *ORDERS[param_order](F.col("param")))
+    return summed.withColumn("f1", F.round(f, 6)).withColumn("r", F.row_number().over(w)).where("r = 1").select("variant", "method", "param", "f1")
+
+
 def best_parameter(rows: DataFrame, by: list[str], param_order: str = "text") -> DataFrame:
     """The parameter of the best single row of each group."""
     w = Window.partitionBy(*by).orderBy(F.desc("f1"), *ORDERS[param_order](F.col("param")))

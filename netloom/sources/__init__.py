@@ -91,6 +91,20 @@ def edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, typed.where("dst is not null")
 
 
+def from_dict(spark: SparkSession, neighbours: dict[int, list[int]]) -> tuple[DataFrame, DataFrame]:
+    """nodes(id) and edges(src, dst) of a mapping from nodes to their neighbours."""
+    edges = [(a, b) for a, near in neighbours.items() for b in near]
+    ids = sorted({*neighbours, *(b for _, b in edges)})
+    return spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "src long, dst long")
+
+
+def checked_adjacency_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same as adjacency_list, but with edges in both directions, once each, and no self-loops."""
+    nodes, edges = adjacency_list(spark, path)
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return nodes, both.where("src <> dst").distinct()
+
+
 def adjacency_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """nodes(id) and edges(src, dst) of a text file with a node and then its neighbours in each line."""
     parts = spark.read.text(path).where("trim(value) <> '' and not startswith(value, '#')").select(F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("long")).alias("p"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from netloom import functions as fn
 from netloom.operators import align, compound, diagnostics, embedding, evaluate, graph, perturb, spatial, struc2vec, structural, tune, walks
+from netloom import sources
 from netloom.operators.components import components
+from netloom.plans import experiments
 from netloom.store import Store
 
 
@@ -330,3 +332,35 @@ def test_layer_graph_has_every_partner_and_layer(spark, store):
     pairs = [(v, u) for v in range(20) for u in sorted((u for u in range(20) if u != v), key=lambda u: (abs(degree[u] - degree[v]), -degree[u], u))[:9]]
     assert sorted((r["v"], r["u"]) for r in found if r["depth"] == 0) == sorted(pairs + [(u, v) for v, u in pairs])
     assert {r["depth"] for r in found} == set(range(7))
+
+
+def test_p_values():
+    # t of 2.228139 has 0.05 in both tails with 10 degrees of freedom, 12.7062 with one
+    for t, n in ((2.2281388520, 12), (12.706204736, 3), (1.9623414611, 1001)):
+        r = t / math.sqrt(n - 2 + t * t)
+        assert diagnostics.p_value(r, n) == pytest.approx(0.05, abs=1e-8)
+    assert diagnostics.p_value(0.0, 10) == pytest.approx(1.0) and diagnostics.p_value(1.0, 10) == 0.0 and math.isnan(diagnostics.p_value(0.5, 2))
+
+
+def test_graph_utilities(spark):
+    n, e = sources.from_dict(spark, {1: [2, 3], 2: [1], 4: [4]})
+    assert sorted(r["id"] for r in n.collect()) == [1, 2, 3, 4] and e.count() == 4
+    assert graph.self_loops(e).count() == 1 and not graph.consistent(e) and graph.consistent(e.where("dst <> 3"))
+    assert graph.has_edge(e, 3, 1) and not graph.has_edge(e, 2, 3)
+
+
+def test_pairs_of_datasets_and_settings(tmp_path):
+    assert experiments.ordered_distinct([("b", "a"), ("a", "c")]) == ["b", "a", "c"]
+    assert experiments.network_pairs(["a", "b", "c"], [("x", "y"), ("a", "b")]) == [("a", "b"), ("a", "c"), ("b", "c"), ("x", "y")]
+    path = f"{tmp_path}/s.yaml"
+    experiments.write_settings(experiments.settings(overrides=["radius=30", "anchors.fraction=0.2"]), path)
+    found = experiments.settings(path, ["sigma=4.5"])
+    assert (found.radius, found.sigma, found.anchors["fraction"]) == (30, 4.5, 0.2)
+    with pytest.raises(ValueError):
+        experiments.settings(overrides=["nothing=1"])
+
+
+def test_missing_datasets_are_left_out(spark):
+    said = []
+    assert experiments.datasets(spark, {"a": ("/nowhere/n", "/nowhere/p")}, [("a", "b")], said.append) == {} and len(said) == 2
+    assert experiments.variants(spark, "/nowhere/*") == []
