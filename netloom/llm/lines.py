@@ -1,17 +1,14 @@
-"""Line dedup within an edit bound, by deletion-neighbourhood joins.
+"""Line dedup within an edit bound, by prefixes of word pairs.
 
 A line is its sequence of words. A line may differ from an earlier one by one inserted, deleted or replaced word for each FUZZY_WORDS of the shorter.
 
-Where the bound is one word, every line emits, as hashed keys, itself and itself without each of its words. A line equal to another's deletion
-variant differs from it by that word; two lines that share a variant with the gap at the same place differ by a replaced word. So in each key only the
-earliest line matters to the others: no key's lines are ever paired with each other, however many they are. Before that, lines that share neither
-their first nor their second half with any other line are set aside, since one edit leaves one of the halves whole.
+An edit touches two of a line's pairs of neighbouring words at most. So of two lines that are k edits apart, each has at most 2k pairs (repeats are
+numbered) that the other has not; if all pairs are put in one order, whichever it is, their first 2k + 1 pairs have one in common. These are a line's keys.
+The order only steers the cost: pairs that are rare in a sample come first, so that lines seldom share a key unless they are alike.
 
-Where the bound is k words, all variants would be too many. The words of a line are dealt by their hash into 2k + 2 classes, and a line emits the
-variants that have lost all classes but one. An edit touches two classes at most, so lines within the bound share two variants at least. Members of a key
-are compared with the earliest first, and what that leaves open with the others. Variants of few words may be those of many lines that are
-not alike; if they are crowded, they count in pairs. No two lines are compared whose parities of words by hash bucket differ in more places than the
-edits allow, and texts are fetched only for lines that share a key.
+Members of a key are compared with each other if they are few; if they are a crowd, with the earliest first, and what that leaves open with all earlier
+ones. No two lines are compared whose parities of words by hash bucket differ in more places than the edits allow, and texts are fetched only
+for lines that are left in a pair.
 """
 
 from __future__ import annotations
@@ -32,20 +29,14 @@ from .textbytes import BASE, BASE_2, inverse_powers, mix, powers, prefix_sums, s
 LEAST_WORDS = 1
 #: A line may differ by one word for each so many words of the shorter of two lines; shorter lines go only if an earlier line is equal.
 FUZZY_WORDS = 10
-#: Lines of a key of at most FEW words beyond which it counts only together with another such key of the line.
-CROWD, FEW = 64, 2
-#: Edits from which on crowded keys of few words are not paired: that all of a pair's shared variants, a third of 2k + 2 on average, are such is improbable.
-CERTAIN = 20
+#: Lines of a key up to which all are compared with each other at once; of a larger one, first with its earliest line.
+CROWD = 8
+#: Documents, about, from which it is learned which words and pairs of words are common, and how many of either are kept. Results do not depend on them.
+SAMPLE, COMMON = 8000, 1 << 16
+#: Places of the tables of common words and pairs, and lines that are sorted at once.
+PLACES, AT_ONCE = 1 << 20, 1 << 16
 #: 64-bit numbers of a line's odd sketch, the parities of its words' counts by hash bucket: an edit flips two of them at most.
-SKETCH = "abcd"
-
-
-def levels(longest: int, fuzzy: int) -> np.ndarray:
-    """Lengths at which a level begins; lines of one level have the same classes. The last is beyond the longest."""
-    out = [fuzzy * k for k in (2, 3, 4, 5, 6)]
-    while out[-1] <= longest:
-        out.append(out[-1] * 4 // 3)
-    return np.array(out)
+SKETCH = "abcdef"
 
 
 def _sums(values: np.ndarray, base: int) -> np.ndarray:
@@ -71,32 +62,63 @@ def line_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return word, first, last, np.stack([rows[first], number[first]]) if len(first) else np.empty((2, 0), np.int64)
 
 
-def class_keys(word: np.ndarray, s: np.ndarray, n: np.ndarray, fuzzy: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, lines): a key for each class of words of lines of 2 * fuzzy words and more, which start at s and have n words; odd if of FEW words.
+def _pairs(word: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, hash) of each pair of neighbouring words of lines that start at s and have n words."""
+    line = np.repeat(np.arange(len(n)), n - 1)
+    at = np.arange(len(line)) + np.repeat(s - (np.cumsum(n - 1) - (n - 1)), n - 1)
+    return line, at, mix(word[at] * np.uint64(BASE) + word[at + 1])
+
+
+def _count_common(least: int, fuzzy: int):
+    """Words and pairs of words (two) with their number in a batch, of lines that may have keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, buf, off in slabs(batch.column(0)):
+                word, s, e, _ = line_words(buf, off)
+                keep = e - s >= max(least, fuzzy)
+                _, at, pair = _pairs(word, s[keep], (e - s)[keep])
+                for two, found in ((False, word[at]), (True, pair)):
+                    h, c = np.unique(found, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), two)), pa.array(h.view(np.int64)), pa.array(c)], names=["two", "h", "c"])
+
+    return run
+
+
+def _common(texts: DataFrame, least: int, fuzzy: int) -> list[np.ndarray]:
+    """Of words and of pairs: how common they are in a sample of texts(id, th, t), four times the logarithm of their count, by the last bits of their hash."""
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("id", "th"), F.lit(every)) == 0).select("t")
+    counts = some.mapInArrow(_count_common(least, fuzzy), "two boolean, h long, c long").groupBy("two", "h").agg(F.sum("c").alias("c")).where("c > 1")
+    out = []
+    for two in (False, True):
+        top = counts.where(F.col("two") == two).orderBy(F.desc("c"), "h").limit(COMMON).select("h", "c").toArrow()
+        table = np.zeros(PLACES, np.uint8)
+        place = np.asarray(top.column(0)).astype(np.int64) & (PLACES - 1)
+        np.maximum.at(table, place, np.minimum(4 * np.log2(np.asarray(top.column(1)).astype(np.int64)), 127).astype(np.uint8))
+        out.append(table)
+    return out
 
-    The shorter of two lines has the level of a pair, so a line emits the keys of its own level, and of the one below if it may be the longer one there.
-    """
-    if not len(n):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    bounds = levels(int(n.max()), fuzzy)
-    level = np.searchsorted(bounds, n, "right") - 1
-    below = np.searchsorted(bounds, np.maximum(-(-n * fuzzy // (fuzzy + 1)), 2 * fuzzy), "right") - 1
-    too = np.flatnonzero(below < level)
-    of, level = np.concatenate([np.arange(len(n)), too]), np.concatenate([level, below[too]])
-    classes = 2 * ((bounds[level + 1] - 1) // fuzzy) + 2
-    begin = np.cumsum(classes) - classes
-    size = n[of]
-    at = np.arange(int(size.sum())) + np.repeat(s[of] - (np.cumsum(size) - size), size)
-    spread = mix(word ^ np.uint64(0x5851F42D4C957F2D))[at]
-    place = np.repeat(begin, size) + ((spread >> np.uint64(32)) % np.repeat(classes, size).astype(np.uint64)).astype(np.int64)
-    total = np.zeros(int(classes.sum()), np.uint64)
-    np.add.at(total, place, spread | np.uint64(1))
-    few = np.bincount(place, minlength=len(total)) <= FEW
-    line = np.repeat(of, classes)
-    number = np.arange(len(total)) - np.repeat(begin, classes) + np.repeat(level, classes) * 1_000_003
-    key = mix(total + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(line, kind="stable")
-    return ((key & ~np.uint64(1)) | few)[order], line[order]
+
+def line_keys(word: np.ndarray, s: np.ndarray, n: np.ndarray, fuzzy: int, common: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, how many of each line) of lines of fuzzy words and more that start at s and have n words: of each its first 2 * (n // fuzzy) + 1 pairs."""
+    take = 2 * (n // fuzzy) + 1
+    known = common[0][word & np.uint64(PLACES - 1)]
+    out = [np.empty(0, np.uint64)]
+    for a in range(0, len(n), AT_ONCE):
+        size, first = n[a : a + AT_ONCE] - 1, take[a : a + AT_ONCE]
+        line, at, pair = _pairs(word, s[a : a + AT_ONCE], size + 1)
+        seen = common[1][pair & np.uint64(PLACES - 1)]
+        rank = np.where(seen > 0, seen | np.uint8(128), np.minimum(known[at].astype(np.uint16) + known[at + 1], 127)).astype(np.uint64)
+        # of a line in turn, 8 bits of rank and 40 of the hash
+        value = np.sort(line.astype(np.uint64) << np.uint64(48) | rank << np.uint64(40) | pair >> np.uint64(24))
+        fresh = np.ones(len(value), bool)
+        fresh[1:] = value[1:] != value[:-1]
+        begin = np.cumsum(size) - size
+        kept = np.arange(int(first.sum())) + np.repeat(begin - (np.cumsum(first) - first), first)
+        number = kept - np.flatnonzero(fresh)[np.cumsum(fresh)[kept] - 1]
+        out.append(mix((value[kept] & np.uint64((1 << 48) - 1)) + number.astype(np.uint64) * np.uint64(BASE_2)))
+    return np.concatenate(out), take
 
 
 def sketches(word: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -106,9 +128,10 @@ def sketches(word: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[np.ndarray]
     out = []
     begin = np.cumsum(n) - n
     place = word[at] % np.uint64(64 * len(SKETCH))
+    bit, number = np.uint64(1) << (place & np.uint64(63)), (place >> np.uint64(6)).astype(np.uint8)
     for k in range(len(SKETCH)):
-        bit = np.where(place >> np.uint64(6) == k, np.uint64(1) << (place & np.uint64(63)), np.uint64(0))
-        out.append(np.bitwise_xor.reduceat(bit, begin) if len(n) else bit)
+        part = np.where(number == k, bit, np.uint64(0))
+        out.append(np.bitwise_xor.reduceat(part, begin) if len(n) else part)
     return out
 
 
@@ -121,8 +144,8 @@ _SKETCH = f"struct<{','.join(f'{c}:long' for c in SKETCH)}>"
 _PLACE, _AT = "id long, th long, line long", "struct<id:long,th:long,line:long>"
 
 
-def _list_lines(least: int, fuzzy: int, keyed: bool):
-    """Content hashes of every line; if keyed, also the halves of lines for which the bound may be one word, and keys and sketch of longer ones."""
+def _list_lines(least: int, fuzzy: int, common: list[np.ndarray] | None = None):
+    """Content hashes of every line; with common words and pairs, also keys and sketch of those for which the bound is a word or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,24 +159,19 @@ def _list_lines(least: int, fuzzy: int, keyed: bool):
                 one, two = _sums(word, BASE), _sums(word, BASE_2)
                 at = pa.array(where[0] + row)
                 columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(where[1]), pa.array(_span(one, s, e, BASE).view(np.int64)), pa.array(_span(two, s, e, BASE_2).view(np.int64)), pa.array(n)]
-                if keyed:
-                    halves = []
-                    for longer in (0, 1):  # of a pair, the longer line has n words or n + 1
-                        half = (n + longer) // 2
-                        for side, (a, b) in enumerate(((s, s + half), (e - (n + longer - half), e))):
-                            halves.append(mix(_span(one, np.maximum(a, s), b, BASE) + (n + longer).astype(np.uint64) * np.uint64(4) + np.uint64(side)))
-                    by_one = (n >= fuzzy) & (n <= 2 * fuzzy)
-                    columns.append(_long_list(np.stack(halves, 1)[by_one].ravel(), np.where(by_one, 4, 0)))
-                    far = np.flatnonzero(n >= 2 * fuzzy)
-                    key, line = class_keys(word, s[far], n[far], fuzzy)
-                    columns.append(_long_list(key, np.bincount(far[line], minlength=len(n))))
+                if common:
+                    far = np.flatnonzero(n >= fuzzy)
+                    key, count = line_keys(word, s[far], n[far], fuzzy, common)
+                    counts = np.zeros(len(n), np.int64)
+                    counts[far] = count
+                    columns.append(_long_list(key, counts))
                     parts = []
                     for bits in sketches(word, s[far], n[far]):
                         part = np.zeros(len(n), np.uint64)
                         part[far] = bits
                         parts.append(pa.array(part.view(np.int64)))
                     columns.append(pa.StructArray.from_arrays(parts, names=list(SKETCH)))
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "line", "h1", "h2", "n", "halves", "grams", "sketch"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "line", "h1", "h2", "n", "keys", "sketch"][: len(columns)])
 
     return run
 
@@ -177,36 +195,27 @@ def _fetch_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(where[1][take]), pa.array(n), _long_list(word[at], n)], names=["id", "th", "line", "n", "words"])
 
 
-#: Kinds of variant: the line itself, the line less a word, the line less a word with the place of the gap.
-WHOLE, LESS, GAP = 0, 1, 2
-
-
-def variants(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and kinds of the deletion neighbourhood of one line."""
-    n = len(words)
-    sums = _sums(words, BASE)
-    whole = mix(sums[n : n + 1] + np.uint64(n))
-    less = mix(sums[:-1] + (sums[n] - sums[1:]) * inverse_powers(BASE, 2)[1] + np.uint64(n - 1))
-    gap = mix(less ^ (np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    return np.concatenate([whole, less, gap]), np.repeat(np.array([WHOLE, LESS, GAP], np.int32), [1, n, n])
-
-
-def _neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(1)
-        found = [variants(np.asarray(lists[i].values).view(np.uint64)) for i in range(len(batch))]
-        for a in range(0, len(found), 1000):  # of 2 * fuzzy words at most
-            part = found[a : a + 1000]
-            at = np.repeat(np.arange(a, a + len(part)), [len(k) for k, _ in part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in part]).view(np.int64)), pa.array(np.concatenate([k for _, k in part])), batch.column(0).take(pa.array(at))], names=["key", "kind", "at"])
-
-
 def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether at most so many words inserted, deleted or replaced turn a into b: of each diagonal, the furthest place that so many edits reach."""
     la, lb = len(a), len(b)
-    if abs(la - lb) > most or np.isin(a, b, invert=True).sum() > most or np.isin(b, a, invert=True).sum() > most:
+    if abs(la - lb) > most:
+        return False
+    both = min(la, lb)
+    ahead, behind = a[:both] != b[:both], a[la - both :] != b[lb - both :]
+    if not ahead.any() or not behind.any() or (la == lb and ahead.sum() <= most):
+        return True
+    # what is equal at both ends needs no edits
+    head = int(ahead.argmax())
+    tail = min(int(behind[::-1].argmax()), both - head)
+    a, b = a[head : la - tail].astype(np.uint64), b[head : lb - tail].astype(np.uint64)
+    la, lb = len(a), len(b)
+    if max(la, lb) <= most:
+        return True
+    if np.isin(a, b, invert=True).sum() > most or np.isin(b, a, invert=True).sum() > most:
+        return False
+    twos = [x[:-1] * np.uint64(BASE) + x[1:] for x in (a, b)]  # an edit touches two pairs of neighbours of either at most
+    if np.isin(*twos, invert=True).sum() > 2 * most or np.isin(*twos[::-1], invert=True).sum() > 2 * most:
         return False
-    a, b = a.astype(np.uint64), b.astype(np.uint64)
     sa, sb, inverse = _sums(a, BASE), _sums(b, BASE), inverse_powers(BASE, max(la, lb) + 1)
 
     def slide(i: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -276,17 +285,6 @@ def _led(members: DataFrame, fuzzy: int) -> DataFrame:
     return members.join(leaders, "key").where((F.col("p.at") < F.col("at")) & _alike("n", "p.n", "sketch", "p.sketch", fuzzy)).select("at", F.col("p.at").alias("to")).distinct()
 
 
-def _late_by_one(words: DataFrame, store: Store, fuzzy: int) -> DataFrame:
-    """Lines that are within one word of an earlier one, from the deletion variants of lines of at most 2 * fuzzy words."""
-    short = words.where(F.col("n") <= 2 * fuzzy)
-    keys = store.cut(short.select("at", "words").mapInArrow(_neighbourhood, f"key long, kind int, at {_AT}"), "variants")
-    first = keys.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"first_{k}") for k in (WHOLE, LESS, GAP)], F.count("*").alias("m")).where("m > 1").drop("m")
-    partner = F.when(F.col("kind") == WHOLE, F.col(f"first_{LESS}")).when(F.col("kind") == LESS, F.col(f"first_{WHOLE}")).otherwise(F.col(f"first_{GAP}"))
-    pairs = store.cut(keys.join(first, "key").select("at", partner.alias("to")).where(F.col("to") < F.col("at")).distinct(), "variant-pairs")
-    store.free("variants")
-    return _judged(pairs, words, store, "late-by-one", fuzzy)
-
-
 def _met(members: DataFrame, fuzzy: int, late: DataFrame | None = None) -> DataFrame:
     """(at, to): members(key, at, n, sketch) not yet late with the earlier ones of their keys that may be within the bound."""
     earlier = members.select("key", F.col("at").alias("to"), F.col("n").alias("to_n"), F.col("sketch").alias("to_sketch"))
@@ -294,11 +292,8 @@ def _met(members: DataFrame, fuzzy: int, late: DataFrame | None = None) -> DataF
     return later.join(earlier, "key").where((F.col("to") < F.col("at")) & _alike("n", "to_n", "sketch", "to_sketch", fuzzy)).select("at", "to").distinct()
 
 
-def _paired(weak: DataFrame, fuzzy: int) -> DataFrame:
-    """weak(key, at, n, sketch) of crowded keys of few words to the same with a key for each two of a line's."""
-    lists = weak.where(F.col("n") < CERTAIN * fuzzy).groupBy("at").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    return lists.select(F.explode(twos).alias("key"), "at", "n", "sketch")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("at").unionByName(pairs.select(F.col("to").alias("at"))).distinct()
 
 
 def _fetched(texts: DataFrame, lines: DataFrame, store: Store, name: str) -> DataFrame:
@@ -319,38 +314,33 @@ def repeated_lines(docs: DataFrame, store: Store, least: int = LEAST_WORDS, fuzz
     the shorter, whether or not that line itself goes. Null texts have no lines. Rows that repeat both a doc_id and its text share their decisions; rows that repeat
     a doc_id with another text have their own. Other columns are ignored; an empty table gives an empty result.
     """
+    if fuzzy < 4:
+        raise ValueError("fuzzy must be 4 at least")  # or a line may have fewer pairs than keys
     texts = docs.select(id_key().alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("t"))
     content = ["h1", "h2", "n"]
     named = f"{_PLACE}, h1 long, h2 long, n long"
-    listed = texts.mapInArrow(_list_lines(least, fuzzy, True), f"{named}, halves array<long>, grams array<long>, sketch {_SKETCH}")
-    lists = [F.first(c).alias(c) for c in ("halves", "grams", "sketch")]
-    keyed = store.cut(listed.groupBy(*content).agg(F.min(F.struct("id", "th", "line")).alias("at"), F.count("*").alias("size"), *lists), "keyed")
+    listed = texts.mapInArrow(_list_lines(least, fuzzy, _common(texts, least, fuzzy)), f"{named}, keys array<long>, sketch {_SKETCH}")
+    keyed = store.cut(listed.groupBy(*content).agg(F.min(F.struct("id", "th", "line")).alias("at"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("keys", "sketch")]), "keyed")
     # dealt by key once: for the count and for the join
-    keys = keyed.select("h1", F.explode(F.concat("halves", "grams")).alias("key")).repartition("key")
+    keys = keyed.select("h1", F.explode("keys").alias("key")).repartition("key")
     shared = store.cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "shared")
     classes = store.cut(keyed.select(*content, "at", "size", "sketch"), "classes")
     store.free("keyed")
     members = store.cut(shared.join(classes.select("h1", "n", "at", "sketch"), "h1").select("m", *_MEMBER), "members")
     store.free("shared")
-    long = members.where(F.col("n") >= 2 * fuzzy)
-    weak = (F.col("m") > crowd) & (F.col("key").bitwiseAND(1) == 1)
-    strong = long.where(~weak).select(_MEMBER)
-    led = store.cut(_led(strong, fuzzy), "led")
-    first = members.where(F.col("n") <= 2 * fuzzy).select("at").unionByName(led.select("at")).unionByName(led.select(F.col("to").alias("at")))
-    words = _fetched(texts, first.distinct(), store, "words")
-    late = _late_by_one(words, store, fuzzy)
-    late = store.cut(late.unionByName(_judged(led.join(late, "at", "left_anti"), words, store, "led-late", fuzzy)).distinct(), "late-1")
-    paired = _paired(long.where(weak).select(_MEMBER), fuzzy)
-    met = store.cut(_met(strong, fuzzy, late).unionByName(_met(paired, fuzzy, late)).distinct().join(led, ["at", "to"], "left_anti"), "met")
-    ends = met.select("at").unionByName(met.select(F.col("to").alias("at"))).distinct()
-    words = words.unionByName(_fetched(texts, ends.join(words.select("at"), "at", "left_anti"), store, "more-words"))
+    crowded = members.where(F.col("m") > crowd).select(_MEMBER)
+    led = store.cut(_met(members.where(F.col("m") <= crowd).select(_MEMBER), fuzzy).unionByName(_led(crowded, fuzzy)).distinct(), "led")
+    words = _fetched(texts, _ends(led), store, "words")
+    late = _judged(led, words, store, "led-late", fuzzy)
+    met = store.cut(_met(crowded, fuzzy, late).join(led, ["at", "to"], "left_anti"), "met")
+    words = words.unionByName(_fetched(texts, _ends(met).join(words.select("at"), "at", "left_anti"), store, "more-words"))
     late = store.cut(late.unionByName(_judged(met, words, store, "met-late", fuzzy)).distinct(), "late")
-    store.free("members", "words", "more-words", "late-by-one", "variant-pairs", "led", "led-late", "late-1", "met", "met-late")
+    store.free("members", "words", "more-words", "led", "led-late", "met", "met-late")
     # a class whose first line goes loses all its lines, any other class all but the first
     settled = classes.join(late.withColumn("late", F.lit(True)), "at", "left").where("late or size > 1")
     settled = store.cut(settled.select(*content, "at", F.coalesce("late", F.lit(False)).alias("late")), "settled")
     store.free("classes", "late")
-    lines = texts.mapInArrow(_list_lines(least, fuzzy, False), named)
+    lines = texts.mapInArrow(_list_lines(least, fuzzy), named)
     gone = lines.join(settled, content).where(F.col("late") | (F.struct("id", "th", "line") != F.col("at")))
     return gone.groupBy("id", "th").agg(F.collect_set("line").alias("gone"))
 

@@ -295,6 +295,33 @@ def test_within():
             assert lines.within(np.array(a), np.array(b), most) == (edits(a, b) <= most)
 
 
+def test_line_keys():
+    """Lines within the bound share a key, in whatever order pairs are; lines of the same words in another order seldom do."""
+    random.seed(6)
+    common = [np.array([random.choice([0, 0, 0, 3, 90]) for _ in range(lines.PLACES // 64)] * 64, np.uint8) for _ in range(2)]
+    a, b = [], []
+    for i in range(600):
+        w = [random.randrange(1 << 62) if i % 2 else random.randint(0, 3) for _ in range(random.choice([10, 11, 19, 20, 35, 200]))]
+        v = list(w)
+        for _ in range(len(w) // 10):
+            p = random.randrange(len(v))
+            v[p : p + random.randint(0, 1)] = random.choice([[], [random.randint(0, 3)]])
+        if edits(w, v) <= min(len(w), len(v)) // 10:
+            a.append(w)
+            b.append(v)
+    b += [w[::-1] for w in a]
+
+    def keys(of):
+        n = np.array([len(w) for w in of])
+        found, count = lines.line_keys(np.concatenate(of).astype(np.uint64), np.cumsum(n) - n, n, 10, common)
+        assert (count == 2 * (n // 10) + 1).all()
+        return [set(x.tolist()) for x in np.split(found, np.cumsum(count)[:-1])]
+
+    a, b = keys(a), keys(b)
+    assert len(a) > 300 and all(x & y for x, y in zip(a, b, strict=False))
+    assert sum(bool(x & y) for x, y in zip(a, b[len(a) :], strict=True)) < 0.7 * len(a)
+
+
 def test_line_dedup_grown_edits(spark, store):
     """Lines of every length from 18 words, with about as many edits as a tenth of the words, against all earlier lines."""
     random.seed(4)
