@@ -322,6 +322,20 @@ def test_line_keys():
     assert sum(bool(x & y) for x, y in zip(a, b[len(a) :], strict=True)) < 0.7 * len(a)
 
 
+def test_line_dedup_crowded_classes_of_words(spark, store):
+    """210 words, 21 of them replaced so that only crowded classes of two words are as before: such lines were left out."""
+    dealt = {k: [] for k in range(50)}
+    for i in range(20_000):
+        word = lines.line_words(np.frombuffer(f"w{i}".encode(), np.uint8), np.array([0, len(f"w{i}")]))[0]
+        dealt[int(lines.mix(word ^ np.uint64(0x5851F42D4C957F2D))[0] >> np.uint64(32)) % 50].append(f"w{i}")
+    a = [w for k in range(42) for w in dealt[k][: 5 if k < 26 else 4]] + [w for k in range(42, 50) for w in dealt[k][:2]]
+    other = {dealt[k][0]: dealt[k + 1][9] for k in range(0, 42, 2)}
+    b = [other.get(w, w) for w in a]
+    assert len(a) == 210 and sum(x != y for x, y in zip(a, b, strict=True)) == 21
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
+    assert [set(r["gone"]) for r in lines.repeated_lines(docs, store, crowd=1).collect()] == [{0}]
+
+
 def test_line_dedup_grown_edits(spark, store):
     """Lines of every length from 18 words, with about as many edits as a tenth of the words, against all earlier lines."""
     random.seed(4)
