@@ -364,3 +364,12 @@ def test_missing_datasets_are_left_out(spark):
     said = []
     assert experiments.datasets(spark, {"a": ("/nowhere/n", "/nowhere/p")}, [("a", "b")], said.append) == {} and len(said) == 2
     assert experiments.variants(spark, "/nowhere/*") == []
+
+
+def test_radius_join_is_never_broadcast(spark):
+    """Nodes of some megabytes make nine rows each, which a driver would have to hold."""
+    nodes = spark.range(100).selectExpr("id", "id * 16.0D AS x", "0.0D AS y")
+    found = spatial.radius_join(nodes, nodes, 20.0)
+    assert found.count() == 298
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
