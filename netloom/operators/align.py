@@ -1,17 +1,17 @@
-"""One-to-one alignment: scores, exact assignment by connected component, anchors and orthogonal maps."""
+"""One-to-one alignment: scores, exact assignment by parts of the graph, anchors and orthogonal maps."""
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import combined, cosine, kernel, uniform, unit
 from ..store import Store
-from .components import components
 from .spatial import colocated, mutual_nearest
 
 
@@ -28,102 +28,217 @@ def scored_candidates(candidates: DataFrame, e1: DataFrame, e2: DataFrame, alpha
 
 
 def best_matching(rows: np.ndarray, cols: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a matching of largest total weight in a sparse bipartite graph, all weights positive.
-
-    Each row is added by a cheapest augmenting path under dual prices; ending the path at a row that stays free, at no gain, is allowed.
-    """
+    """Pairs of a matching of largest total weight in a sparse bipartite graph, all weights positive."""
     r_ids, r = np.unique(rows, return_inverse=True)
     c_ids, c = np.unique(cols, return_inverse=True)
-    edges: list[list[tuple[int, float]]] = [[] for _ in r_ids]
-    for i, j, w in zip(r.tolist(), c.tolist(), weight.tolist(), strict=True):
-        edges[i].append((j, w))
-    u = [max(w for _, w in e) for e in edges]  # row prices; u + v >= weight, and = weight on matched pairs
-    v = [0.0] * len(c_ids)
-    col_of, row_of = [-1] * len(r_ids), [-1] * len(c_ids)
-    for s in range(len(r_ids)):
-        dist, came = {}, {}
-        done_rows, done_cols = {s: 0.0}, {}
-        heap: list[tuple[float, int]] = []
-        best, end = u[s], ("row", s)  # giving up a row costs its price
-        i, d = s, 0.0
-        while True:
-            for j, w in edges[i]:
-                if j not in done_cols:
-                    nd = d + u[i] + v[j] - w
-                    if nd < dist.get(j, np.inf):
-                        dist[j], came[j] = nd, i
-                        heapq.heappush(heap, (nd, j))
-            while heap and (heap[0][1] in done_cols or heap[0][0] > dist[heap[0][1]]):
-                heapq.heappop(heap)
-            if not heap or heap[0][0] >= best:
-                break
-            d, j = heapq.heappop(heap)
-            done_cols[j] = d
-            if row_of[j] < 0:
-                best, end = d, ("col", j)
-                break
-            i = row_of[j]
-            done_rows[i] = d
-            if d + u[i] < best:
-                best, end = d + u[i], ("row", i)
-        for i, d in done_rows.items():
-            u[i] -= max(0.0, best - d)
-        for j, d in done_cols.items():
-            v[j] += max(0.0, best - d)
-        kind, at = end
-        if kind == "row":
-            if at == s:
-                continue
-            j = col_of[at]
-            col_of[at] = -1
-        else:
-            j = at
-        while True:
-            i = came[j]
-            before = col_of[i]
-            col_of[i], row_of[j] = j, i
-            if i == s:
-                break
-            j = before
-    return [(int(r_ids[i]), int(c_ids[j])) for i, j in enumerate(col_of) if j >= 0]
+    state = Matching(r, c, weight, len(r_ids), np.ones(len(c_ids), bool))
+    state.add(range(len(r_ids)))
+    return [(int(r_ids[i]), int(c_ids[j])) for i, j in enumerate(state.col_of) if j >= 0]
+
+
+#: What a row or column is matched with, if not with a number of the other side.
+FREE, OUTSIDE = -1, -2
 
 
-def assign(pairs: DataFrame, cost, store: Store) -> DataFrame:
+class Matching:
+    """Matching of a part of a bipartite graph under prices u of rows and v of columns: u + v >= weight on every edge, and = weight on matched pairs.
+
+    Rows that stay free have price 0, as columns have that are still free, so that a matching with all rows added is of largest total weight. Columns
+    that are not `own` belong to other parts. Their price, which never falls, is taken for 0, and rows that would have to ask for one are not added.
+    """
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray, n: int, own: np.ndarray):
+        order = np.lexsort((cols, rows))
+        self.heads = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).tolist()
+        self.to, self.weight = cols[order], weight[order]
+        self.own = own.tolist()
+        self.u, self.v = [0.0] * n, [0.0] * len(own)
+        self.col_of, self.row_of = [FREE] * n, [FREE] * len(own)
+        self.edges: dict[int, list[tuple[int, float]]] = {}
+
+    def _of(self, i: int) -> list[tuple[int, float]]:
+        found = self.edges.get(i)
+        if found is None:
+            a, b = self.heads[i], self.heads[i + 1]
+            found = self.edges[i] = list(zip(self.to[a:b].tolist(), self.weight[a:b].tolist(), strict=True))
+        return found
+
+    def add(self, todo: Iterable[int]) -> list[int]:
+        """Each row is added by a cheapest augmenting path; ending the path at a row that stays free, at no gain, is allowed.
+
+        Returns the rows whose paths may lead out of the part; they leave everything as it was.
+        """
+        u, v, own, col_of, row_of = self.u, self.v, self.own, self.col_of, self.row_of
+        late = []
+        for s in todo:
+            u[s] = max(0.0, max(w - v[j] for j, w in self._of(s)))
+            dist, came = {}, {}
+            done_rows, done_cols = {s: 0.0}, {}
+            heap: list[tuple[float, int]] = []
+            best, end = u[s], ("row", s)  # giving up a row costs its price
+            i, d = s, 0.0
+            leaves = False
+            while True:
+                for j, w in self._of(i):
+                    if j not in done_cols:
+                        nd = d + u[i] + v[j] - w
+                        if nd < best and nd < dist.get(j, np.inf):
+                            dist[j], came[j] = nd, i
+                            heapq.heappush(heap, (nd, j))
+                while heap and (heap[0][1] in done_cols or heap[0][0] > dist[heap[0][1]]):
+                    heapq.heappop(heap)
+                if not heap or heap[0][0] >= best:
+                    break
+                d, j = heapq.heappop(heap)
+                leaves = not own[j] or row_of[j] == OUTSIDE
+                if leaves:
+                    break
+                done_cols[j] = d
+                if row_of[j] < 0:
+                    best, end = d, ("col", j)
+                    break
+                i = row_of[j]
+                done_rows[i] = d
+                if d + u[i] < best:
+                    best, end = d + u[i], ("row", i)
+            if leaves:
+                late.append(s)
+                continue
+            for i, d in done_rows.items():
+                u[i] -= max(0.0, best - d)
+            for j, d in done_cols.items():
+                v[j] += max(0.0, best - d)
+            kind, at = end
+            if kind == "row":
+                if at == s:
+                    continue
+                j = col_of[at]
+                col_of[at] = FREE
+            else:
+                j = at
+            while True:
+                i = came[j]
+                before = col_of[i]
+                col_of[i], row_of[j] = j, i
+                if i == s:
+                    break
+                j = before
+        return late
+
+
+#: Rows of a strip, about; parts of a graph are solved that are some neighbouring strips wide.
+STRIP_ROWS = 16384
+#: Records of a part: edges (a, b, price: weight), rows and columns that are not as at first (a: which, b: its partner or null, price).
+_EDGE, _ROW, _COL = 0, 1, 2
+
+
+def _solve_part(width: int, shift: int):
+    """Adds what rows it can of a part to the matching; gives its rows and columns. Rows that are still to be added have price null."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        kind, a, p1, p2 = (table[c].to_numpy() for c in ("kind", "a", "p1", "p2"))
+        b = table["b"].fill_null(0).to_numpy()
+        paired = table["b"].is_valid().to_numpy()
+        price = table["price"].to_numpy()
+        edge, row, col = (np.flatnonzero(kind == k) for k in (_EDGE, _ROW, _COL))
+        r_ids, first, r = np.unique(a[edge], return_index=True, return_inverse=True)
+        c_ids, first_c, c = np.unique(b[edge], return_index=True, return_inverse=True)
+        strip, strip_c = p1[edge][first], p2[edge][first_c]
+        state = Matching(r, c, price[edge], len(r_ids), (strip_c + shift) // width == (p1[edge[0]] + shift) // width)
+        todo = np.ones(len(r_ids), bool)
+        for i, k in zip(np.searchsorted(r_ids, a[row]).tolist(), row.tolist(), strict=True):
+            todo[i] = False
+            state.u[i] = float(price[k])
+            if paired[k]:
+                state.col_of[i] = int(np.searchsorted(c_ids, b[k]))
+        outside: dict[int, int] = {}  # rows of other parts that have columns of this one
+        for j, k in zip(np.searchsorted(c_ids, a[col]).tolist(), col.tolist(), strict=True):
+            state.v[j] = float(price[k])
+            if paired[k]:
+                i = int(np.searchsorted(r_ids, b[k]))
+                if i < len(r_ids) and r_ids[i] == b[k]:
+                    state.row_of[j] = i
+                else:
+                    state.row_of[j], outside[j] = OUTSIDE, int(b[k])
+        late = np.zeros(len(r_ids), bool)
+        late[state.add(np.flatnonzero(todo).tolist())] = True
+        own = np.flatnonzero(state.own)
+        own = own[np.array(state.row_of)[own] != FREE]  # free ones are as at first
+        col_of, row_of = np.array(state.col_of), np.array(state.row_of)[own]
+        partner = r_ids[np.maximum(row_of, 0)]
+        for at in np.flatnonzero(row_of == OUTSIDE).tolist():
+            partner[at] = outside[int(own[at])]
+        return pa.concat_tables([
+            pa.table({"kind": pa.array(np.full(len(r_ids), _ROW, np.int32)), "a": pa.array(r_ids), "b": pa.array(c_ids[np.maximum(col_of, 0)], mask=col_of == FREE), "price": pa.array(np.array(state.u), mask=late), "p1": pa.array(strip), "p2": pa.array(strip)}),
+            pa.table({"kind": pa.array(np.full(len(own), _COL, np.int32)), "a": pa.array(c_ids[own]), "b": pa.array(partner), "price": pa.array(np.array(state.v)[own]), "p1": pa.array(strip_c[own]), "p2": pa.array(strip_c[own])}),
+        ])
+
+    return solve
+
+
+def _strips(edges: DataFrame, along: DataFrame | None, store: Store, rows: int) -> DataFrame:
+    """(g1_id, p1): strips of about so many rows, in the order of along(g1_id, along), or else of their ids."""
+    ids = edges.select("g1_id").distinct()
+    count = ids.count()
+    if count <= rows:
+        return ids.withColumn("p1", F.lit(0))
+    key = along.groupBy("g1_id").agg(F.min("along").alias("along")) if along is not None else ids.select("g1_id", F.lit(0).alias("along"))
+    return store.cut(ids.join(key, "g1_id", "left").repartitionByRange(-(-count // rows), "along", "g1_id").select("g1_id", F.spark_partition_id().alias("p1")), "strips")
+
+
+def assign(pairs: DataFrame, cost, store: Store, along: DataFrame | None = None, strip_rows: int = STRIP_ROWS) -> DataFrame:
     """pairs(g1_id, g2_id, ...) to a one-to-one subset of them: the matching of largest sum of (largest cost + 1 - cost) over all pairs.
 
-    That is the optimum of the square problem padded with cells of cost (largest + 1), and not the largest matching. It falls apart into connected
-    components, which are solved in parallel; the bound is common to all. A component has to fit one task. Of duplicate pairs the cheapest counts.
+    That is the optimum of the square problem padded with cells of cost (largest + 1), and not the largest matching. Rows are dealt into strips, in the
+    order of along(g1_id, along), such as a coordinate, or else of their ids. Parts of neighbouring strips are solved in parallel; rows whose augmenting
+    paths would leave their part wait for the next round, whose parts are wider and have their borders elsewhere. The result is exact whatever the strips
+    are, but if few paths stay within a part, the last one holds most of the graph. Of duplicate pairs the cheapest counts.
     """
     costed = store.cut(pairs.withColumn("_cost", cost.cast("double")), "costed")
     top = costed.agg((F.max("_cost") + 1.0).alias("_top"))
     edges = costed.groupBy("g1_id", "g2_id").agg(F.min("_cost").alias("_cost")).crossJoin(F.broadcast(top)).select("g1_id", "g2_id", (F.col("_top") - F.col("_cost")).alias("weight"))
     edges = store.cut(edges, "weighted")
-    # the sides share no numbers as nodes: even for g1, odd for g2
-    links = edges.select((2 * F.col("g1_id")).alias("a"), (2 * F.col("g2_id") + 1).alias("b"))
-    parts = components(links, store, "blocks").select((F.col("node") / 2).cast("long").alias("g1_id"), "component", (F.col("node") % 2).alias("side")).where("side = 0")
-
-    def solve(table: pa.Table) -> pa.Table:
-        found = best_matching(table["g1_id"].to_numpy(), table["g2_id"].to_numpy(), table["weight"].to_numpy())
-        return pa.table({"g1_id": pa.array([p[0] for p in found], pa.int64()), "g2_id": pa.array([p[1] for p in found], pa.int64())})
-
-    # single edges need no solver
-    tagged = edges.join(parts.select("g1_id", "component"), "g1_id")
-    sizes = tagged.groupBy("component").agg(F.count("*").alias("m"))
-    sized = tagged.join(sizes, "component")
-    alone = sized.where("m = 1").select("g1_id", "g2_id")
-    solved = sized.where("m > 1").select("component", "g1_id", "g2_id", "weight").groupBy("component").applyInArrow(solve, "g1_id long, g2_id long")
-    chosen = alone.unionByName(solved)
-    cheapest = costed.groupBy("g1_id", "g2_id").agg(F.min_by(F.struct(*[c for c in costed.columns if c not in ("g1_id", "g2_id")]), "_cost").alias("r"))
-    return chosen.join(cheapest, ["g1_id", "g2_id"]).select("g1_id", "g2_id", "r.*").drop("_cost")
-
-
-def nearest_neighbour_alignment(candidates: DataFrame, store: Store) -> DataFrame:
+    placed = edges.join(_strips(edges, along, store, strip_rows), "g1_id").withColumn("p2", F.min("p1").over(Window.partitionBy("g2_id")))
+    placed = store.cut(placed.select(F.lit(_EDGE).alias("kind"), F.col("g1_id").cast("long").alias("a"), F.col("g2_id").cast("long").alias("b"), F.col("weight").alias("price"), "p1", "p2"), "placed")
+    store.free("weighted")
+    strips = (placed.agg(F.max("p1")).first()[0] or 0) + 1
+    state, k = None, 0
+    while True:
+        width, shift = (2, 0) if k == 0 else (2**k, 2 ** (k - 1))
+        part = lambda p, w=width, s=shift: F.floor((F.col(p) + s) / w).cast("int")
+        whole = strips <= width - shift
+        if state is None:
+            rows, done = placed.withColumn("part", part("p1")), None
+        else:
+            waiting = sorted({(p[0] + shift) // width for p in state.where(F.col("price").isNull()).select("p1").distinct().collect()})  # numbers of strips
+            if not waiting:
+                break
+            known = state.where(F.col("price").isNotNull())
+            rows = placed.unionByName(known).withColumn("part", part("p1")).where(F.col("part").isin(waiting))
+            done = known.where(~part("p1").isin(waiting))
+        made = rows.groupBy("part").applyInArrow(_solve_part(width, shift), "kind int, a long, b long, price double, p1 int, p2 int")
+        after = store.cut(made if done is None else made.unionByName(done), f"state-{k}")
+        if state is not None:
+            store.free(f"state-{k - 1}")
+        state, k = after, k + 1
+        if whole:
+            break
+    chosen = state.where((F.col("kind") == _ROW) & F.col("b").isNotNull()).select(F.col("a").alias("g1_id"), F.col("b").alias("g2_id"))
+    rest = [c for c in costed.columns if c not in ("g1_id", "g2_id")]
+    return costed.join(chosen, ["g1_id", "g2_id"]).groupBy("g1_id", "g2_id").agg(F.min_by(F.struct(*rest), "_cost").alias("r")).select("g1_id", "g2_id", "r.*").drop("_cost")
+
+
+def _by_y(nodes1: DataFrame | None) -> DataFrame | None:
+    return nodes1 if nodes1 is None else nodes1.select(F.col("id").alias("g1_id"), F.col("y").alias("along"))
+
+
+def nearest_neighbour_alignment(candidates: DataFrame, store: Store, nodes1: DataFrame | None = None) -> DataFrame:
     """One-to-one matches of least total distance within the radius."""
-    return assign(candidates, F.col("distance"), store)
+    return assign(candidates, F.col("distance"), store, _by_y(nodes1))
 
 
-def similarity_alignment(scored: DataFrame, store: Store) -> DataFrame:
-    return assign(scored, -F.col("combined_sim"), store)
+def similarity_alignment(scored: DataFrame, store: Store, nodes1: DataFrame | None = None) -> DataFrame:
+    return assign(scored, -F.col("combined_sim"), store, _by_y(nodes1))
 
 
 def match_records(matches: DataFrame, nodes1: DataFrame, nodes2: DataFrame) -> DataFrame:
@@ -209,8 +324,6 @@ def top_similar(e1: DataFrame, e2: DataFrame, k: int, block: int = 2048) -> Data
         parts = [np.concatenate(o) if o else np.empty(0, t) for o, t in ((g1, np.int64), (g2, np.int64), (s, float))]
         return pa.table(dict(zip(("g1_id", "g2_id", "similarity"), parts, strict=True)))
 
-    from pyspark.sql import Window
-
     near = a.unionByName(b).groupBy("b1", "b2").applyInArrow(compare, "g1_id long, g2_id long, similarity double")
     w = Window.partitionBy("g1_id").orderBy(F.desc("similarity"), "g2_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -66,7 +66,7 @@ def _posthoc(s: Settings, n1: DataFrame, n2: DataFrame, made: list[DataFrame], s
 def run(s: Settings, n1: DataFrame, e1: DataFrame, n2: DataFrame, e2: DataFrame, store: Store) -> DataFrame:
     """Match records of one run."""
     if s.method == "nearest":
-        return align.match_records(align.nearest_neighbour_alignment(radius_join(n1, n2, s.radius), store), n1, n2)
+        return align.match_records(align.nearest_neighbour_alignment(radius_join(n1, n2, s.radius), store, n1), n1, n2)
     if s.method == "struc2vec":
         made = [store.cut(struc2vec.vectors(n, e, Store(n.sparkSession, f"s2v-{name}"), s.until_layer, s.walks_per_node, s.walk_length, seed=s.seed, dim=s.dim, window=s.window, epochs=s.epochs), f"vectors-{name}") for name, n, e in (("G1", n1, e1), ("G2", n2, e2))]
         return _posthoc(s, n1, n2, made, store)
@@ -89,7 +89,7 @@ def run(s: Settings, n1: DataFrame, e1: DataFrame, n2: DataFrame, e2: DataFrame,
     vectors = store.cut(embedding.by_graph(vectors_of(s, walked)), "vectors")
     e_1, e_2 = (vectors.where(F.col("graph") == g).select("id", "vec") for g in ("G1", "G2"))
     scored = align.scored_candidates(near, e_1, e_2, s.alpha, s.align_sigma, least=s.least)
-    return align.match_records(align.similarity_alignment(scored, store), n1, n2)
+    return align.match_records(align.similarity_alignment(scored, store, n1), n1, n2)
 
 
 def evaluate_run(matches: DataFrame, nodes1: DataFrame, provenance: DataFrame, exclude: DataFrame | None = None) -> DataFrame:

@@ -131,6 +131,32 @@ def test_assignment_objective(spark, store):
     assert sorted((r["g1_id"], r["g2_id"], r["c"]) for r in got) == [(1, 8, -0.8), (2, 7, -0.85)]
 
 
+@pytest.mark.parametrize("strip_rows", [1, 4, 1000])
+def test_assignment_by_parts_of_one_component(spark, strip_rows, monkeypatch):
+    """A chain in one piece, whose best matching hangs on all of it: whatever the strips, no part has all rows unless it must."""
+    random.seed(5)
+    rows = [(a, b, round(random.random() * 9, 6)) for a in range(60) for b in range(a - 2, a + 2) if b >= 0 and b % 20]
+    sizes = spark.sparkContext.accumulator(0)
+    solve_part = align._solve_part
+
+    def counted(width, shift):
+        def solve(table):
+            if np.unique(table["a"].to_numpy()).size >= 60:
+                sizes.add(1)
+            return solve_part(width, shift)(table)
+
+        return solve
+
+    monkeypatch.setattr(align, "_solve_part", counted)
+    pairs = spark.createDataFrame(rows, "g1_id long, g2_id long, c double")
+    along = spark.createDataFrame([(a, float(-a)) for a in range(60)], "g1_id long, along double")
+    got = align.assign(pairs, F.col("c"), Store(spark, "t"), along, strip_rows).collect()
+    top = max(c for _, _, c in rows) + 1
+    whole = align.best_matching(*(np.array(c) for c in zip(*[(a, b, top - c) for a, b, c in rows], strict=True)))
+    assert sorted((r["g1_id"], r["g2_id"]) for r in got) == sorted(whole)
+    assert strip_rows != 4 or sizes.value == 0
+
+
 def test_identity_alignment_is_perfect(spark, store):
     from netloom.plans import alignment
 
