@@ -95,8 +95,7 @@ def manifest(x, store):
 
 def _feature_file(x, store, name: str, rows: DataFrame) -> str:
     """A GeoJSON collection: one document, as the format has it."""
-    doc = rows.agg(F.collect_list(F.struct("properties", "geometry")).alias("features")).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
-    sinks.write_text(doc.coalesce(1), _at(store, name))
+    sinks.write_features(rows, _at(store, name))
     return _at(store, name)
 
 

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lambert93
+from .features import Layout, feature_texts, layout
 
 POINT = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.DoubleType()))])
 LINE = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
 
-def geojson(spark: SparkSession, path: str, geometry: T.StructType) -> DataFrame:
-    """(ordinal, properties map, geometry) of the features of a GeoJSON collection."""
+def geojson(spark: SparkSession, path: str, geometry: T.StructType, found: Layout | None = None) -> DataFrame:
+    """(ordinal, properties map, geometry) of the features of a GeoJSON collection, which no task holds as a whole."""
     feature = T.StructType([T.StructField("properties", T.MapType(T.StringType(), T.StringType())), T.StructField("geometry", geometry)])
-    read = spark.read.schema(T.StructType([T.StructField("features", T.ArrayType(feature))])).option("multiLine", True).json(path)
-    return read.select(F.posexplode("features").alias("ordinal", "f")).select("ordinal", "f.properties", "f.geometry")
+    read = feature_texts(found or layout(spark, path)).select(F.col("ordinal").cast("int").alias("ordinal"), F.from_json("text", feature).alias("f"))
+    return read.select("ordinal", "f.properties", "f.geometry")
 
 
 def detect_format(nodes: DataFrame, pipes: DataFrame) -> str:
@@ -29,11 +30,9 @@ def detect_format(nodes: DataFrame, pipes: DataFrame) -> str:
     raise ValueError("neither a wastewater nor a road network")
 
 
-def srid_of(spark: SparkSession, path: str) -> int:
+def srid_of(spark: SparkSession, path: str, found: Layout | None = None) -> int:
     """The EPSG number that a GeoJSON file's member crs names; 4326, longitude and latitude, where it names none."""
-    named = T.StructType([T.StructField("crs", T.StructType([T.StructField("properties", T.StructType([T.StructField("name", T.StringType())]))]))])
-    row = spark.read.schema(named).option("multiLine", True).json(path).select("crs.properties.name").first()
-    name = (row["name"] if row else None) or "EPSG:4326"
+    name = (found or layout(spark, path)).crs or "EPSG:4326"
     if name.endswith("CRS84"):
         return 4326
     return int(name.rsplit(":", 1)[-1])
@@ -47,9 +46,10 @@ def load_network(spark: SparkSession, nodes_path: str, pipes_path: str, data_for
     Wastewater edges bring in ends that the node file lacks, without coordinates; road edges without both ends are dropped. Road edges name their
     ends by u and v, by node_start and node_end, or lie between nodes whose coordinates agree with the line's ends to six decimals.
     """
-    raw_nodes, raw_pipes = geojson(spark, nodes_path, POINT), geojson(spark, pipes_path, LINE)
+    layouts = [layout(spark, path) for path in (nodes_path, pipes_path)]
+    raw_nodes, raw_pipes = geojson(spark, nodes_path, POINT, layouts[0]), geojson(spark, pipes_path, LINE, layouts[1])
     kind = detect_format(raw_nodes, raw_pipes) if data_format == "auto" else data_format
-    srids = [srid or (srid_of(spark, path) if kind == "road" else 2154) for path in (nodes_path, pipes_path)]
+    srids = [srid or (srid_of(spark, path, at) if kind == "road" else 2154) for path, at in zip((nodes_path, pipes_path), layouts, strict=True)]
     prop = lambda k: F.expr(f"try_cast(properties['{k}'] AS bigint)")
     if kind == "wastewater":
         id_, src, dst = prop("old_id"), prop("sourceNode"), prop("targetNode")

@@ -55,6 +55,14 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def write_features(features: DataFrame, path: str) -> None:
+    """features(properties, geometry) as one GeoJSON collection, a feature a line; the one task that writes it holds a line at a time."""
+    line = features.select(F.to_json(F.struct(F.lit("Feature").alias("type"), "properties", "geometry")).alias("value")).repartition(1)
+    comma = F.when(F.monotonically_increasing_id() == 0, "").otherwise(",")
+    head, foot = (features.sparkSession.createDataFrame([(v,)], "value string").coalesce(1) for v in ('{"type":"FeatureCollection","features":[', "]}"))
+    write_text(head.union(line.select(F.concat(comma, "value").alias("value"))).union(foot).coalesce(1), path)
+
+
 def write_coordinates(nodes: DataFrame, path: str) -> None:
     nodes.select(F.col("id").alias("node_id"), "x", "y").write.mode("overwrite").option("header", True).csv(path)
 

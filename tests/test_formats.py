@@ -1,9 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from netloom import sources
 from netloom.sources import sinks
+from netloom.sources.features import layout
 from netloom.streaming import stream_candidates, windowed_counts
 
 
@@ -42,6 +44,27 @@ def test_roads(spark, tmp_path):
     assert sources.srid_of(spark, str(named)) == 2154 and sources.srid_of(spark, n) == 4326
 
 
+@pytest.mark.parametrize("split", [40, 300, 1 << 20])
+@pytest.mark.parametrize("how", [{}, {"indent": 2}, {"separators": (",", ":")}])
+def test_collections_are_read_by_splits(spark, tmp_path, split, how):
+    odd = ['a"b', "back\\", '\\"', "}{][", "{", 'é "features": [{', "", '"}']
+    features = [{"type": "Feature", "geometry": point(i, -i), "properties": {"nodeID": i, "name": odd[i % len(odd)], "more": "x" * (i % 7) * 30}} for i in range(40)]
+    doc = {"name": '"features": [{}', "bbox": [[0, {"a": 1}]], "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::2154"}}, "links": [{"properties": {"nodeID": 99}}], "features": features, "after": [{"properties": {}}]}
+    (tmp_path / "n.json").write_text(json.dumps(doc, ensure_ascii=False, **how))
+    sizes = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        found = layout(spark, str(tmp_path / "n.json"))
+        got = sorted((r["ordinal"], r["properties"]["name"], r["properties"]["more"], tuple(r["geometry"]["coordinates"])) for r in sources.geojson(spark, str(tmp_path / "n.json"), sources.POINT, found).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(i, f["properties"]["name"], f["properties"]["more"], (i, -i)) for i, f in enumerate(features)]
+    assert found.crs.endswith("2154") and len(found.starts) > 1  # each core gets a split at least
+
+
 def test_edge_list_round_trip(spark, tmp_path):
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     edges = spark.createDataFrame([(1, 2), (2, 2)], "src long, dst long")
