@@ -55,8 +55,18 @@ def vectors(filled: DataFrame) -> DataFrame:
 def top_pairs(f1: DataFrame, f2: DataFrame, alpha: float, m: int, block: int = BLOCK) -> DataFrame:
     """(g1_id, g2_id, similarity) of the m structurally closest g2 nodes of each g1 node, ties to the smaller id.
 
-    Both sides are dealt into blocks; a task compares one pair of blocks and keeps its best m, so no pair of nodes is ever a row before that.
+    Nodes of equal features have the same closest ones, and of g2 nodes of equal features only the m smallest ids can be among them: one node of each
+    kind of g1 is compared with those. Both sides are dealt into blocks; a task compares one pair of blocks and keeps its best m, so no pair of nodes
+    is ever a row before that.
     """
+    kinds = f1.groupBy("f").agg(F.min("id").alias("kind"))
+    offered = f2.withColumn("r", F.row_number().over(Window.partitionBy("f").orderBy("id"))).where(F.col("r") <= m).drop("r")
+    found = _top_pairs(kinds.select(F.col("kind").alias("id"), "f"), offered, alpha, m, block).withColumnRenamed("g1_id", "kind")
+    return f1.join(kinds, "f").select(F.col("id").alias("g1_id"), "kind").join(found, "kind").select("g1_id", "g2_id", "similarity")
+
+
+def _top_pairs(f1: DataFrame, f2: DataFrame, alpha: float, m: int, block: int) -> DataFrame:
+    """top_pairs of every row of either side."""
 
     def deal(f: DataFrame, other: int, mine: str, theirs: str, side: int) -> DataFrame:
         count = max(1, -(-f.count() // block))

@@ -84,6 +84,20 @@ def test_top_pairs_by_blocks(spark):
         assert got[i] == {j for _, j in best}
 
 
+def test_top_pairs_compares_kinds_of_nodes(spark, monkeypatch):
+    """Equal features are compared once, with no more than m nodes of each kind; the pairs are those of all nodes."""
+    random.seed(4)
+    sides = [{i: [float(random.randint(0, 2)), random.randint(0, 2) / 3] for i in range(a, a + 90)} for a in (0, 500)]
+    one, two = (spark.createDataFrame(list(s.items()), "id long, f array<double>") for s in sides)
+    seen = []
+    whole = structural._top_pairs
+    monkeypatch.setattr(structural, "_top_pairs", lambda f1, f2, *how: seen.append((f1.count(), f2.count())) or whole(f1, f2, *how))
+    got = sorted((r["g1_id"], r["g2_id"]) for r in structural.top_pairs(one, two, 0.5, 4).collect())
+    far = lambda f, g: round(sum(abs(p - q) for p, q in zip(f, g, strict=True)), 12)
+    assert got == sorted((a, b) for a, f in sides[0].items() for b in sorted(sides[1], key=lambda b: (far(f, sides[1][b]), b))[:4])
+    assert seen[0][0] <= 9 and seen[0][1] <= 36
+
+
 def test_joins(spark, store):
     g1, g2 = nodes(spark, (1, 0, 0), (2, 0, 0.05)), nodes(spark, (9, 0, 0.02))
     assert spatial.colocated(g1, g2, 0.1).count() == 2 and spatial.colocated(g1, g2, 0.1, True).count() == 0
