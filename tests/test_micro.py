@@ -60,6 +60,39 @@ def test_betweenness(spark, path5):
     assert {round(r["betweenness"], 6) for r in square.collect()} == {round(1 / 6, 6)}
 
 
+def test_betweenness_sends_no_graph_through_the_driver(spark, monkeypatch):
+    random.seed(2)
+    pairs = sorted({(random.randint(0, 39), random.randint(0, 39)) for _ in range(70)})
+    n, e = spark.createDataFrame([(i,) for i in (*range(40), 10**12)], "id long"), edges(spark, *[(a, b if b else 10**12) for a, b in pairs])
+    monkeypatch.setattr(type(n), "toArrow", lambda self: pytest.fail("collected"))
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(n, e, 100, batch=7).collect()}
+    order = sorted(got)
+    near = {i: set() for i in order}
+    for a, b in pairs:
+        b = b or 10**12
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = dict.fromkeys(order, 0.0)
+    for s in order:
+        depth, paths, queue = {s: 0}, {s: 1.0}, [s]
+        for u in queue:
+            for v in near[u]:
+                if v not in depth:
+                    depth[v], paths[v] = depth[u] + 1, 0.0
+                    queue.append(v)
+                if depth[v] == depth[u] + 1:
+                    paths[v] += paths[u]
+        share = dict.fromkeys(queue, 0.0)
+        for v in reversed(queue):
+            for u in near[v]:
+                if depth[u] == depth[v] - 1:
+                    share[u] += paths[u] / paths[v] * (1 + share[v])
+            want[v] += share[v] if v != s else 0.0
+    size = len(order)
+    assert got == pytest.approx({i: want[i] / ((size - 1) * (size - 2)) for i in order})
+
+
 def test_skip_and_carry(spark, path5):
     two, e2 = ids(spark, 2), edges(spark, (1, 2))
     a = structural.ring_bounds(graph.rings(two, e2, 3, Store(spark, "a")))
