@@ -277,6 +277,8 @@ def _alike(n: str, to_n: str, sketch: str, to_sketch: str, fuzzy: int) -> Column
 
 
 _MEMBER = ["key", "at", "n", "sketch"]
+#: Least keys of a line that its members carry: a pair is made at the least key that both carry, and not once for each key that it shares.
+FIRST = 8
 
 
 def _led(members: DataFrame, fuzzy: int) -> DataFrame:
@@ -285,11 +287,20 @@ def _led(members: DataFrame, fuzzy: int) -> DataFrame:
     return members.join(leaders, "key").where((F.col("p.at") < F.col("at")) & _alike("n", "p.n", "sketch", "p.sketch", fuzzy)).select("at", F.col("p.at").alias("to")).distinct()
 
 
+def _members(lines: DataFrame, keys: str) -> DataFrame:
+    """A member(key, at, n, sketch, first) for each of the sorted keys of lines(at, n, sketch, ...)."""
+    return lines.select(F.explode(keys).alias("key"), "at", "n", "sketch", F.slice(keys, 1, FIRST).alias("first"))
+
+
 def _met(members: DataFrame, fuzzy: int, late: DataFrame | None = None) -> DataFrame:
-    """(at, to): members(key, at, n, sketch) not yet late with the earlier ones of their keys that may be within the bound."""
-    earlier = members.select("key", F.col("at").alias("to"), F.col("n").alias("to_n"), F.col("sketch").alias("to_sketch"))
+    """(at, to), seldom twice: members(key, at, n, sketch, first) not yet late with the earlier ones of their keys that may be within the bound.
+
+    Lines that share many keys would meet at each of them; they meet at the least that both carry, or else at every one that is later than what they carry.
+    """
+    earlier = members.select("key", F.col("at").alias("to"), F.col("n").alias("to_n"), F.col("sketch").alias("to_sketch"), F.col("first").alias("to_first"))
     later = members.join(late, "at", "left_anti") if late is not None else members
-    return later.join(earlier, "key").where((F.col("to") < F.col("at")) & _alike("n", "to_n", "sketch", "to_sketch", fuzzy)).select("at", "to").distinct()
+    once = F.coalesce(F.array_min(F.array_intersect("first", "to_first")) >= F.col("key"), F.lit(True))
+    return later.join(earlier, "key").where((F.col("to") < F.col("at")) & _alike("n", "to_n", "sketch", "to_sketch", fuzzy) & once).select("at", "to")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -326,13 +337,15 @@ def repeated_lines(docs: DataFrame, store: Store, least: int = LEAST_WORDS, fuzz
     shared = store.cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "shared")
     classes = store.cut(keyed.select(*content, "at", "size", "sketch"), "classes")
     store.free("keyed")
-    members = store.cut(shared.join(classes.select("h1", "n", "at", "sketch"), "h1").select("m", *_MEMBER), "members")
+    # keys of few lines and of crowds apart, as a pair is looked for among either
+    of_line = shared.groupBy("h1").agg(*[F.array_sort(F.collect_list(F.when(c, F.col("key")))).alias(k) for k, c in (("few", F.col("m") <= crowd), ("crowd", F.col("m") > crowd))])
+    members = store.cut(of_line.join(classes.select("h1", "n", "at", "sketch"), "h1").drop("h1"), "members")
     store.free("shared")
-    crowded = members.where(F.col("m") > crowd).select(_MEMBER)
-    led = store.cut(_met(members.where(F.col("m") <= crowd).select(_MEMBER), fuzzy).unionByName(_led(crowded, fuzzy)).distinct(), "led")
+    crowded = _members(members, "crowd")
+    led = store.cut(_met(_members(members, "few"), fuzzy).unionByName(_led(crowded.select(_MEMBER), fuzzy)).distinct(), "led")
     words = _fetched(texts, _ends(led), store, "words")
     late = _judged(led, words, store, "led-late", fuzzy)
-    met = store.cut(_met(crowded, fuzzy, late).join(led, ["at", "to"], "left_anti"), "met")
+    met = store.cut(_met(crowded, fuzzy, late).distinct().join(led, ["at", "to"], "left_anti"), "met")
     words = words.unionByName(_fetched(texts, _ends(met).join(words.select("at"), "at", "left_anti"), store, "more-words"))
     late = store.cut(late.unionByName(_judged(met, words, store, "met-late", fuzzy)).distinct(), "late")
     store.free("members", "words", "more-words", "led", "led-late", "met", "met-late")

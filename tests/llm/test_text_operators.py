@@ -364,3 +364,13 @@ def test_line_dedup_grown_edits(spark, store):
     want = {i: "\n".join(" ".join(w) for k, w in enumerate(out) if k not in gone.get(i, ())) for i, out in rows}
     assert {r["doc_id"]: r["text"] for r in found} == want
     assert expected
+
+
+def test_line_dedup_meets_once(spark):
+    """Lines that share many keys are paired at one of them, whichever keys each has besides."""
+    keys = {0: [*range(100, 140)], 1: [*range(100, 140)], 2: [*range(105, 145)], 3: [1, 2, *range(130, 150)]}
+    rows = [(k, (i, 0, 0), 200, (0,) * len(lines.SKETCH)) for i, k in keys.items()]
+    docs = spark.createDataFrame(rows, f"few array<long>, at {lines._AT}, n long, sketch {lines._SKETCH}")
+    got = [(r["at"]["id"], r["to"]["id"]) for r in lines._met(lines._members(docs, "few"), 10).collect()]
+    assert set(got) == {(b, a) for a in keys for b in keys if a < b}
+    assert got.count((1, 0)) == got.count((2, 0)) == got.count((2, 1)) == 1
