@@ -446,3 +446,20 @@ def test_radius_join_is_never_broadcast(spark):
     assert found.count() == 298
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_candidate_layers(spark, sf_dir):
+    """The same rows as by layers one after the other, from no more than a row a pair."""
+    from netloom.plans.fixture import Fixture
+
+    x = Fixture(spark, sf_dir)
+    some = x.nodes1.where("id < 300"), x.edges1.where("src < 300 and dst < 300")
+    lists = Store(spark, "a").cut(struc2vec.compact(struc2vec.degree_lists(*some, 4, Store(spark, "b"))), "lists")
+    pairs = Store(spark, "c").cut(struc2vec.candidates(graph.degrees(*some), Store(spark, "d")), "pairs")
+    key = lambda r: (r["depth"], r["v"], r["u"], round(r["w"], 12))
+    one = sorted(map(key, struc2vec.layer_graph(struc2vec.layer_distances(pairs, lists, Store(spark, "e"))).collect()))
+    made = Store(spark, "f")
+    two = sorted(map(key, struc2vec.candidate_layers(pairs, lists, made).collect()))
+    assert [r[:3] for r in one] == [r[:3] for r in two]
+    assert max(abs(a[3] - b[3]) for a, b in zip(one, two, strict=True)) < 1e-9
+    assert spark.read.parquet(made.paths["summed"]).count() == pairs.count()
