@@ -186,15 +186,8 @@ def _strips(edges: DataFrame, along: DataFrame | None, store: Store, rows: int)
     return store.cut(ids.join(key, "g1_id", "left").repartitionByRange(-(-count // rows), "along", "g1_id").select("g1_id", F.spark_partition_id().alias("p1")), "strips")
 
 
-def assign(pairs: DataFrame, cost, store: Store, along: DataFrame | None = None, strip_rows: int = STRIP_ROWS) -> DataFrame:
-    """pairs(g1_id, g2_id, ...) to a one-to-one subset of them: the matching of largest sum of (largest cost + 1 - cost) over all pairs.
-
-    That is the optimum of the square problem padded with cells of cost (largest + 1), and not the largest matching. Rows are dealt into strips, in the
-    order of along(g1_id, along), such as a coordinate, or else of their ids. Parts of neighbouring strips are solved in parallel; rows whose augmenting
-    paths would leave their part wait for the next round, whose parts are wider and have their borders elsewhere. The result is exact whatever the strips
-    are, but if few paths stay within a part, the last one holds most of the graph. Of duplicate pairs the cheapest counts.
-    """
-    costed = store.cut(pairs.withColumn("_cost", cost.cast("double")), "costed")
+def _chosen(costed: DataFrame, store: Store, along: DataFrame | None, strip_rows: int) -> DataFrame:
+    """The pairs (g1_id, g2_id) that assign() takes of costed(g1_id, g2_id, _cost)."""
     top = costed.agg((F.max("_cost") + 1.0).alias("_top"))
     edges = costed.groupBy("g1_id", "g2_id").agg(F.min("_cost").alias("_cost")).crossJoin(F.broadcast(top)).select("g1_id", "g2_id", (F.col("_top") - F.col("_cost")).alias("weight"))
     edges = store.cut(edges, "weighted")
@@ -223,7 +216,21 @@ def assign(pairs: DataFrame, cost, store: Store, along: DataFrame | None = None,
         state, k = after, k + 1
         if whole:
             break
-    chosen = state.where((F.col("kind") == _ROW) & F.col("b").isNotNull()).select(F.col("a").alias("g1_id"), F.col("b").alias("g2_id"))
+    return state.where((F.col("kind") == _ROW) & F.col("b").isNotNull()).select(F.col("a").alias("g1_id"), F.col("b").alias("g2_id"))
+
+
+def assign(pairs: DataFrame, cost, store: Store, along: DataFrame | None = None, strip_rows: int = STRIP_ROWS) -> DataFrame:
+    """pairs(g1_id, g2_id, ...) to a one-to-one subset of them: the matching of largest sum of (largest cost + 1 - cost) over all pairs.
+
+    That is the optimum of the square problem padded with cells of cost (largest + 1), and not the largest matching. Rows are dealt into strips, in the
+    order of along(g1_id, along), such as a coordinate, or else of their ids. Parts of neighbouring strips are solved in parallel; rows whose augmenting
+    paths would leave their part wait for the next round, whose parts are wider and have their borders elsewhere. The result is exact whatever the strips
+    are, but if few paths stay within a part, the last one holds most of the graph. Of duplicate pairs the cheapest counts.
+    """
+    with store.dealt(along.count() if along is not None else 0):
+        costed = store.cut(pairs.withColumn("_cost", cost.cast("double")), "costed")
+    with store.dealt(costed.count()):
+        chosen = _chosen(costed, store, along, strip_rows)
     rest = [c for c in costed.columns if c not in ("g1_id", "g2_id")]
     return costed.join(chosen, ["g1_id", "g2_id"]).groupBy("g1_id", "g2_id").agg(F.min_by(F.struct(*rest), "_cost").alias("r")).select("g1_id", "g2_id", "r.*").drop("_cost")
 

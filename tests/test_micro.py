@@ -204,6 +204,20 @@ def test_assignment_by_parts_of_one_component(spark, strip_rows, monkeypatch):
     assert strip_rows != 4 or sizes.value == 0
 
 
+def test_assignment_is_dealt_over_partitions_by_its_rows(spark, monkeypatch):
+    """However few partitions a session has, candidates and parts have one for each so many nodes; the session is left as it was."""
+    from netloom import store as stores
+
+    monkeypatch.setattr(stores, "PARTITION_ROWS", 5)
+    seen, cut, before = {}, Store.cut, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(Store, "cut", lambda self, df, name, *a, **k: seen.setdefault(name, int(spark.conf.get("spark.sql.shuffle.partitions"))) and cut(self, df, name, *a, **k))
+    pairs = spark.createDataFrame([(i, 100 + j, float(abs(i - j))) for i in range(40) for j in range(i, min(i + 2, 40))], "g1_id long, g2_id long, c double")
+    along = spark.createDataFrame([(i, float(i)) for i in range(40)], "g1_id long, along double")
+    assert align.assign(pairs, F.col("c"), Store(spark, "t"), along).count() == 40
+    assert seen["costed"] == 8 and seen["placed"] == 16 and seen["state-0"] == 16
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 def test_identity_alignment_is_perfect(spark, store):
     from netloom.plans import alignment
 
