@@ -140,7 +140,8 @@ def real_pairs(networks: dict[str, tuple[DataFrame, DataFrame]], pairs: list[tup
     for a, b in pairs:
         (n1, e1), (n2, e2) = networks[a], networks[b]
         own = Store(spark, f"pair-{a}-{b}")
-        truth = own.cut(spatial.colocated(n1, n2, tolerance, both_sides=True).select("g1_id", F.col("g2_id").alias("truth")), "truth")
+        with own.dealt(n1.count()):
+            truth = own.cut(spatial.colocated(n1, n2, tolerance, both_sides=True).select("g1_id", F.col("g2_id").alias("truth")), "truth")
         for name, s in methods.items():
             outcome = evaluate.outcomes(truth, alignment.run(s, n1, e1, n2, e2, own).select("g1_id", "g2_id"))
             m = evaluate.metrics(outcome).first().asDict()
