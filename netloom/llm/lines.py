@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..store import Store, id_key
+from ..store import Store, id_key, small
 from .textbytes import BASE, BASE_2, inverse_powers, mix, powers, prefix_sums, slabs, span_hash, word_spans
 
 #: Lines of fewer words are left alone: only those without words.
@@ -85,11 +85,12 @@ def _count_common(least: int, fuzzy: int):
     return run
 
 
-def _common(texts: DataFrame, least: int, fuzzy: int) -> list[np.ndarray]:
+def _common(texts: DataFrame, store: Store, least: int, fuzzy: int) -> list[np.ndarray]:
     """Of words and of pairs: how common they are in a sample of texts(id, th, t), four times the logarithm of their count, by the last bits of their hash."""
     every = max(1, texts.count() // SAMPLE)
     some = texts.where(F.pmod(F.xxhash64("id", "th"), F.lit(every)) == 0).select("t")
     counts = some.mapInArrow(_count_common(least, fuzzy), "two boolean, h long, c long").groupBy("two", "h").agg(F.sum("c").alias("c")).where("c > 1")
+    counts = store.cut(counts, "counts")  # read twice
     out = []
     for two in (False, True):
         top = counts.where(F.col("two") == two).orderBy(F.desc("c"), "h").limit(COMMON).select("h", "c").toArrow()
@@ -97,6 +98,7 @@ def _common(texts: DataFrame, least: int, fuzzy: int) -> list[np.ndarray]:
         place = np.asarray(top.column(0)).astype(np.int64) & (PLACES - 1)
         np.maximum.at(table, place, np.minimum(4 * np.log2(np.asarray(top.column(1)).astype(np.int64)), 127).astype(np.uint8))
         out.append(table)
+    store.free("counts")
     return out
 
 
@@ -310,8 +312,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _fetched(texts: DataFrame, lines: DataFrame, store: Store, name: str) -> DataFrame:
     """(at, n, words) of lines(at) from texts(id, th, t), once each."""
     wanted = store.cut(lines.groupBy("at.id", "at.th").agg(F.collect_list("at.line").alias("wanted")), f"{name}-wanted")
-    # sorted by id and th, so that rows that repeat come one after the other and are read once
-    words = texts.join(wanted.hint("merge"), ["id", "th"]).select("id", "th", "t", "wanted").mapInArrow(_fetch_lines, f"{_PLACE}, n long, words array<long>")
+    # no other text is dealt out, if a broadcast can tell; sorted by id and th, so that rows that repeat come one after the other and are read once
+    some = texts.join(small(wanted.select("id", "th")), ["id", "th"], "left_semi")
+    words = some.join(wanted.hint("merge"), ["id", "th"]).select("id", "th", "t", "wanted").mapInArrow(_fetch_lines, f"{_PLACE}, n long, words array<long>")
     words = store.cut(words.select(F.struct("id", "th", "line").alias("at"), "n", "words"), name)
     store.free(f"{name}-wanted")
     return words
@@ -330,11 +333,10 @@ def repeated_lines(docs: DataFrame, store: Store, least: int = LEAST_WORDS, fuzz
     texts = docs.select(id_key().alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("t"))
     content = ["h1", "h2", "n"]
     named = f"{_PLACE}, h1 long, h2 long, n long"
-    listed = texts.mapInArrow(_list_lines(least, fuzzy, _common(texts, least, fuzzy)), f"{named}, keys array<long>, sketch {_SKETCH}")
+    listed = texts.mapInArrow(_list_lines(least, fuzzy, _common(texts, store, least, fuzzy)), f"{named}, keys array<long>, sketch {_SKETCH}")
     keyed = store.cut(listed.groupBy(*content).agg(F.min(F.struct("id", "th", "line")).alias("at"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("keys", "sketch")]), "keyed")
-    # dealt by key once: for the count and for the join
-    keys = keyed.select("h1", F.explode("keys").alias("key")).repartition("key")
-    shared = store.cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "shared")
+    keys = keyed.select("h1", F.explode("keys").alias("key"))
+    shared = store.cut(keys.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), "shared")
     classes = store.cut(keyed.select(*content, "at", "size", "sketch"), "classes")
     store.free("keyed")
     # keys of few lines and of crowds apart, as a pair is looked for among either
@@ -370,7 +372,8 @@ def without_repeated_lines(docs: DataFrame, store: Store, **how) -> DataFrame:
     parts = F.split(F.col("row.text"), "\n", -1)
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i.cast("long"))), "\n"))
     row = F.col("row").withField("text", text)
-    joined = joined.select(row.alias("row"), F.struct(F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("total"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed")).alias("lines"))
+    total = F.length("row.text") - F.length(F.replace(F.col("row.text"), F.lit("\n"), F.lit(""))) + 1  # texts that lose nothing are not split
+    joined = joined.select(row.alias("row"), F.struct(F.coalesce(total, F.lit(0)).cast("long").alias("total"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed")).alias("lines"))
     if "n_chars" in names:
         kind = dict(docs.dtypes)["n_chars"]
         joined = joined.withColumn("row", F.col("row").withField("n_chars", F.when(F.col("lines.removed") > 0, F.length("row.text").cast(kind)).otherwise(F.col("row.n_chars"))))
