@@ -399,6 +399,24 @@ def test_sgns_learns_neighbours(spark):
     assert embedding.vocabulary_counts(vectors).first()["g1"] == 10
 
 
+def test_sgns_over_tasks_keeps_every_word_and_learns(spark):
+    """Words' vectors are never sent to all tasks: a task has those of its walks and of the words drawn for the epoch."""
+    random.seed(0)
+    rows = [(i, [f"G1_{random.randint(0, 4) + 10 * (i % 2)}" for _ in range(12)]) for i in range(400)] + [(400 + i, [f"G2_{i}"]) for i in range(30)]
+    w = spark.createDataFrame(rows, "walk long, tokens array<string>")
+    sent, broadcast = [], spark.sparkContext.broadcast
+    spark.sparkContext.broadcast = lambda value: sent.append(value) or broadcast(value)
+    try:
+        vectors, losses = embedding.skip_gram_sgns(w, dim=8, epochs=4, task_tokens=1000)
+    finally:
+        del spark.sparkContext.broadcast
+    v = {(r["graph"], r["id"]): np.array(r["vec"]) for r in embedding.by_graph(vectors).collect()}
+    assert not sent and len(v) == 40 and all(len(x) == 8 and np.isfinite(x).all() for x in v.values())
+    cos = lambda a, b: float(v["G1", a] @ v["G1", b] / np.linalg.norm(v["G1", a]) / np.linalg.norm(v["G1", b]))
+    assert len(losses) == 4 and losses[-1] < losses[0]
+    assert np.mean([cos(a, b) for a in range(5) for b in range(a)]) > np.mean([cos(a, b) for a in range(5) for b in range(10, 15)]) + 0.3
+
+
 def test_top_examples(spark):
     s = spark.createDataFrame([("G1_1", f"G{1 + i % 2}_{i}", 1 - i / 100) for i in range(50)], "word string, other string, similarity double")
     got = diagnostics.top_examples(s, "G2", scan=10, top=3).orderBy("rank").collect()
