@@ -495,3 +495,17 @@ def test_candidate_layers(spark, sf_dir):
     assert [r[:3] for r in one] == [r[:3] for r in two]
     assert max(abs(a[3] - b[3]) for a, b in zip(one, two, strict=True)) < 1e-9
     assert spark.read.parquet(made.paths["summed"]).count() == pairs.count()
+
+
+@pytest.mark.parametrize("part_nodes", [9, 1000])
+def test_walks_by_parts_are_walks_of_layers(spark, part_nodes):
+    """Without a row of a layer, and in parts of few nodes, walks are the same; 41 of 120 nodes are hubs."""
+    rng = np.random.default_rng(8)
+    e = edges(spark, *{(int(a), int(a + b)) for a, b in zip(rng.integers(0, 110, 170), rng.integers(1, 9, 170), strict=True)})
+    n, made = spark.range(120), Store(spark, "parts")
+    lists = made.cut(struc2vec.compact(struc2vec.degree_lists(n, e, 3, made)), "compact")
+    degree = graph.degrees(n, e)
+    layers = made.cut(struc2vec.candidate_layers(struc2vec.candidates(degree, Store(spark, "p"), 5), lists, Store(spark, "l")), "layers")
+    plain = {r["walk"]: r["tokens"] for r in struc2vec.layer_walks(layers, n, Store(spark, "a"), 3, 12, seed=3).collect()}
+    got = {r["walk"]: r["tokens"] for r in struc2vec.candidate_walks(struc2vec.chosen(degree, Store(spark, "q"), 5), lists, n, Store(spark, "b"), 3, 12, seed=3, part_nodes=part_nodes).collect()}
+    assert got == plain and len(got) == 360
