@@ -509,3 +509,26 @@ def test_walks_by_parts_are_walks_of_layers(spark, part_nodes):
     plain = {r["walk"]: r["tokens"] for r in struc2vec.layer_walks(layers, n, Store(spark, "a"), 3, 12, seed=3).collect()}
     got = {r["walk"]: r["tokens"] for r in struc2vec.candidate_walks(struc2vec.chosen(degree, Store(spark, "q"), 5), lists, n, Store(spark, "b"), 3, 12, seed=3, part_nodes=part_nodes).collect()}
     assert got == plain and len(got) == 360
+
+
+@pytest.mark.parametrize("task_tokens", [10**6, 900])
+def test_hs_learns_neighbours_in_any_number_of_tasks(spark, task_tokens):
+    random.seed(0)
+    rows = []
+    for i in range(300):
+        side = random.choice("ab")
+        rows.append((i, [f"G1_{random.randint(0, 4) + (10 if side == 'b' else 0)}" for _ in range(12)]))
+    w = spark.createDataFrame(rows, "walk long, tokens array<string>")
+    v = {r["id"]: np.array(r["vec"]) for r in embedding.by_graph(embedding.skip_gram_hs(w, dim=8, epochs=4, task_tokens=task_tokens)).collect()}
+    cos = lambda a, b: float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]))
+    assert sorted(v) == [0, 1, 2, 3, 4, 10, 11, 12, 13, 14]
+    assert np.mean([cos(a, b) for a in range(5) for b in range(a)]) > np.mean([cos(a, b) for a in range(5) for b in range(10, 15)]) + 0.3
+
+
+def test_huffman():
+    parent, bit = embedding.huffman(np.array([1, 1, 2, 4]))
+    nodes, bits = embedding._paths(np.arange(4), parent, bit)
+    assert [[n for n in row if n >= 0] for row in nodes.tolist()] == [[4, 5, 6], [4, 5, 6], [5, 6], [6]]
+    codes = {tuple(b[: (n >= 0).sum()][::-1]) for n, b in zip(nodes, bits, strict=True)}
+    assert len(codes) == 4 and all(a == b or b[: len(a)] != a for a in codes for b in codes)
+    assert embedding._paths(np.arange(1), *embedding.huffman(np.array([7])))[0].shape == (1, 0)
