@@ -532,3 +532,14 @@ def test_huffman():
     codes = {tuple(b[: (n >= 0).sum()][::-1]) for n, b in zip(nodes, bits, strict=True)}
     assert len(codes) == 4 and all(a == b or b[: len(a)] != a for a in codes for b in codes)
     assert embedding._paths(np.arange(1), *embedding.huffman(np.array([7])))[0].shape == (1, 0)
+
+
+def test_word2vec_hs_reads_whole_walks(spark, sf_dir, monkeypatch):
+    from netloom import queries
+
+    seen = []
+    monkeypatch.setattr(embedding, "skip_gram_hs", lambda w, dim=128, epochs=5: seen.append((w, dim, epochs)) or spark.createDataFrame([("G1_1", [0.0])], "word string, vec array<float>"))
+    queries.QUERIES["word2vec_hs"](spark, sf_dir)
+    (w, dim, epochs), = seen
+    r = w.agg(F.count("*").alias("n"), F.countDistinct(F.split("walk", "#")[0]).alias("nodes"), F.max(F.size("tokens")).alias("length")).first()
+    assert (r["n"], r["length"], dim, epochs) == (10 * r["nodes"], 80, 128, 5)
